@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_model, quality_rules, secret_scan, toxicity, url_filters
+from . import decontamination, mixing, quality_model, quality_rules, secret_scan, toxicity, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,9 +39,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op5_quality_classifier, op7_url_filters, op8_toxicity, op10_secret_scans)}
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op7_url_filters": url_filters.oracle()}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_mixing, op4_decontamination, op5_quality_classifier, op7_url_filters, op8_toxicity, op9_warc, op10_secret_scans)
+}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op7_url_filters": url_filters.oracle(), "op9_warc": warc.oracle()}
