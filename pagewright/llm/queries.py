@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_model, quality_rules, secret_scan, toxicity, url_filters, warc
+from . import decontamination, mixing, quality_model, quality_rules, secret_scan, substring_dedup, toxicity, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op4_decontamination, op5_quality_classifier, op7_url_filters, op8_toxicity, op9_warc, op10_secret_scans)
+    for f in (op1_quality_rules, op2_mixing, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_url_filters, op8_toxicity, op9_warc, op10_secret_scans)
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op7_url_filters": url_filters.oracle(), "op9_warc": warc.oracle()}
