@@ -181,8 +181,8 @@ def _short_blocks(plan, rows: dict, names: list, block_rows: int) -> list[tuple[
     return sorted(out)
 
 
-def in_mixed_order(mixed: DataFrame, rows_per_file: int = 1 << 16) -> DataFrame:
-    """The mixed rows laid out by position: partitions are consecutive stretches, each sorted."""
-    most = mixed.agg(F.max("mix_position")).first()[0]
-    parts = 1 if most is None else most // rows_per_file + 1
-    return mixed.repartitionById(parts, F.floor(F.col("mix_position") / rows_per_file).cast("int")).sortWithinPartitions("mix_position")
+def in_mixed_order(mixed: DataFrame, rows: int) -> DataFrame:
+    """The mixed rows laid out by position: partitions are consecutive stretches, as many as Spark's shuffle partitions, each sorted."""
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = max(1, math.ceil(rows / parts))
+    return mixed.repartitionById(parts, F.floor(F.col("mix_position") / stretch).cast("int")).sortWithinPartitions("mix_position")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_model, quality_rules, secret_scan, substring_dedup, toxicity, url_filters, warc
+from . import decontamination, jaccard_join, mixing, quality_model, quality_rules, secret_scan, substring_dedup, toxicity, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_url_filters, op8_toxicity, op9_warc, op10_secret_scans)
+    for f in (op1_quality_rules, op2_mixing, op3_jaccard_join, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_url_filters, op8_toxicity, op9_warc, op10_secret_scans)
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op7_url_filters": url_filters.oracle(), "op9_warc": warc.oracle()}
