@@ -192,21 +192,34 @@ def search(index: Index, words: Words, s: Settings) -> list[tuple[int, int, str,
     ends = np.concatenate([[0], np.cumsum(real)])[offsets]
     codes = codes[real]
     counts = np.diff(ends)
-    # windows of every text: starts a stride apart, the last one ending where the text does
+    # a text's words in chunks of a stride; a window is some consecutive chunks, and the last one ends where the text does
+    chunks = -(-counts // s.stride)
+    at_chunk = np.concatenate([[0], np.cumsum(chunks)])
+    owner = np.repeat(np.arange(len(counts)), chunks)
+    start = ends[owner] + (np.arange(at_chunk[-1]) - at_chunk[owner]) * s.stride
+    grid = start[:, None] + np.arange(s.stride)
+    other = len(index.terms)
+    grid = np.where(grid < ends[owner + 1][:, None], np.append(codes, other)[np.minimum(grid, len(codes))], other)
     n_windows = np.where(counts == 0, 0, np.maximum(0, -(-(counts - s.window) // s.stride)) + 1)
     who = np.repeat(np.arange(len(counts)), n_windows)
-    turn = np.arange(len(who)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    first = ends[who] + turn * s.stride
+    chunk = at_chunk[who] + np.arange(len(who)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    first = start[chunk] if len(chunk) else chunk
     last = np.minimum(first + s.window, ends[who + 1])
     mass = np.concatenate([[0], np.cumsum(index.bound[codes])])
     # no window below this can reach the cover that is asked for
     hopeful = np.flatnonzero(mass[last] - mass[first] >= s.cover * float((index.norms**2).min()) * 0.999)
+    sums = np.zeros((len(grid) + 1, index.latent.shape[1]), np.float32)
+    for at in range(0, len(grid), 4096):
+        block = sums[at : min(at + 4096, len(grid))]
+        for k in range(s.stride):
+            block += index.latent[grid[at : at + 4096, k]]
     best: dict[tuple[int, int], tuple] = {}
     for at in range(0, len(hopeful), 4096):
         some = hopeful[at : at + 4096]
-        sizes = last[some] - first[some]
-        flat = np.repeat(first[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        x = np.add.reduceat(index.latent[codes[flat]], np.cumsum(sizes) - sizes, axis=0)
+        x = sums[chunk[some]]
+        for k in range(1, s.window // s.stride):
+            there = chunk[some] + k
+            x = x + sums[np.where(there < at_chunk[who[some] + 1], there, len(grid))]
         products = x @ index.passages.T
         norm = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
         cosine = products / norm[:, None] / np.maximum(index.norms, 1e-9)
