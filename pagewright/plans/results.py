@@ -54,7 +54,7 @@ def run_checks(frames: Frames, only: tuple[str, ...] | None = None) -> DataFrame
 
     out = None
     for check_id, (needs, f) in sorted(REGISTRY.items()):
-        if only and check_id not in only:
+        if only is not None and check_id not in only:
             continue
         part = f(frames) if all(n in frames for n in needs) else not_evaluated(frames["sites"], check_id)
         out = part if out is None else out.unionByName(part)
