@@ -45,7 +45,7 @@ RULES = (
     parse_rule("org/es/", "block"),
 )
 #: The canonical link and the refresh redirect of a page; attributes in either order.
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']([^\"'>]+)"
+_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'>\s]+)"
 
 
@@ -123,7 +123,7 @@ def oracle() -> str:
         return tuple("case " + " ".join(f"when {test(r)} then '{x(r)}'" for r in order) + " end" for x in (lambda r: r.name, lambda r: r.verdict))
 
     name, own = fits("host", "path")
-    link = "(?is)<link[^>]*?rel\\s*=\\s*[\"" + q + "]?canonical[^>]*?href\\s*=\\s*[\"" + q + "]([^\"" + q + ">]+)"
+    link = "(?is)<link[^>]*?rel\\s*=\\s*[\"" + q + "]?canonical[^>]*?href\\s*=\\s*[\"" + q + "]?([^\"" + q + ">\\s]+)"
     refresh = "(?is)<meta[^>]*?http-equiv\\s*=\\s*[\"" + q + "]?refresh[^>]*?content\\s*=\\s*[\"" + q + "][^\"" + q + ">]*?url\\s*=\\s*([^\"" + q + ">\\s]+)"
     return f"""
 with recursive t as (
