@@ -9,10 +9,12 @@ which a hash deals the universe of shingles, the sets agree on E + 1 or more. Ea
 * a set with more empty segments than slack adds, over a prefix of the segments, their one-deletion neighbourhoods, each of
   which is worth two segments, until the sum is right again; this happens to both sets of any pair that needs it.
 
-Sets that meet in a segment are linked in a star to its least one, first within a task, then over all; every link is verified on
-the whole sets. What a failed link leaves open is settled exactly: buckets whose members lie in more than one component compare
-ever more pivots with all members, and hot ones drop the members whose slack allows it. No bucket is expanded into all its pairs
-unless it is small or nothing else decides it.
+Sets that meet in a segment are paired in a star with its least one, first within a task, then over all; every pair is verified on
+the whole sets. What a failed pair leaves open is settled exactly: a bucket whose members lie in more than one component is read by
+one task (large ones by several), which compares parity sketches in blocks. A sketch has a bit for each of some 16 H hash classes,
+the parity of the set's shingles there, so two sets differ in at least as many shingles as their sketches in bits: most pairs are
+ruled out for good. Of the rest only those leave the task that would join two components, nearest first, as a spanning forest; they
+are verified, and the open buckets are read again until none has a pair left. Hot buckets drop the members whose slack allows it.
 
 Shingles are compared by 64-bit hashes, sets are named by a 64-bit hash of their shingles.
 """
@@ -38,7 +40,11 @@ MOST_BANDS = 200
 HOT = 32
 #: Members of a star that one task compares with its centre.
 SPOKES = 256
-NODES = "node long, n int, spare_own int, spare_next int"
+NODES = "node long, n int, spare_own int, spare_next int, sketch binary"
+#: Sets that a task compares with a bucket's members at once.
+PIVOTS = 4096
+#: Partners that each member of an open bucket tries in one round, besides the forest.
+NEAREST = 4
 
 
 @dataclass(frozen=True)
@@ -87,6 +93,34 @@ def set_names(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends[1:]] - sums[ends[:-1]]) ^ mix(np.diff(ends).astype(np.uint64))).view(np.int64)
 
 
+def sketches(tokens: np.ndarray, ends: np.ndarray, plan: Plan) -> list[bytes]:
+    """Parity bits of each set, a power of two of them, sixteen for each shingle that two sets of its size may differ in."""
+    out = []
+    differ = (100 - plan.percent) * 2 * np.diff(ends) // (100 + plan.percent)
+    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        bits = max(64, 1 << (16 * int(differ[i]) - 1).bit_length()) if differ[i] else 64
+        odd = np.bincount((tokens[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Shingles that two sets differ in at least; the longer sketch is folded to the shorter one's classes."""
+    x, y = sorted((a, b), key=len)
+    folded, bits = 0, len(x) * 8
+    value = int.from_bytes(y, "little")
+    while value:
+        folded ^= value & ((1 << bits) - 1)
+        value >>= bits
+    return (folded ^ int.from_bytes(x, "little")).bit_count()
+
+
+def folded_rows(sketch: list[bytes]) -> np.ndarray:
+    """All sketches as rows of 64-bit words, folded to the shortest."""
+    words = min(len(s) for s in sketch) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0) for s in sketch])
+
+
 def _label(band: np.ndarray, segment: np.ndarray, content: np.ndarray, kind: int) -> np.ndarray:
     """The bucket: 56 bits of hash over the band."""
     with np.errstate(over="ignore"):
@@ -172,7 +206,8 @@ def document_sets(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
             for part in slices(batch):
                 tokens, ends = shingle_sets(split_words(part.column("text"), lower=True), shingle)
                 _, _, spare = signatures(tokens, ends, plan)
-                yield _batch(["doc_id", "node", "n", "spare_own", "spare_next"], part.column("doc_id"), set_names(tokens, ends), np.diff(ends).astype(np.int32), spare[:, 0].astype(np.int32), spare[:, 1].astype(np.int32))
+                cells = (set_names(tokens, ends), np.diff(ends).astype(np.int32), spare[:, 0].astype(np.int32), spare[:, 1].astype(np.int32), pa.array(sketches(tokens, ends, plan), pa.binary()))
+                yield _batch(["doc_id", "node", "n", "spare_own", "spare_next", "sketch"], part.column("doc_id"), *cells)
 
     return docs.mapInArrow(emit, f"doc_id long, {NODES}")
 
@@ -213,17 +248,39 @@ def star_links(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket long, node long, centre long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, carriers: DataFrame, shingle: int, plan: Plan) -> DataFrame:
-    """(a, b, ok) of the pairs (a, b): the whole sets are compared. carriers: (node, doc_id) of a document that has the set.
+def set_carriers(docs: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(text) of a document for each set that shares a bucket with another, laid down once in the shared folder."""
+    needed = links.select("node").unionAll(links.select(F.col("centre").alias("node"))).distinct()
+    ids = nodes.groupBy("node").agg(F.min("doc_id").alias("carrier")).join(needed, "node", "left_semi").select("carrier")
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("carrier"), "left_semi").select("text")
+
+
+def possible(pairs: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) that size and sketches allow; facts: (node, n, sketch)."""
+    side = lambda c: facts.select(F.col("node").alias(f"{c}_"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    rows = pairs.join(side("a"), F.col("a") == F.col("a_")).join(side("b"), F.col("b") == F.col("b_"))
+    rows = rows.where((F.col("n_a") * 100 >= F.col("n_b") * plan.percent) & (F.col("n_b") * 100 >= F.col("n_a") * plan.percent))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            least = [least_difference(x, y) for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True)]
+            ok = np.array(least, np.int64) * (100 + plan.percent) <= sums * (100 - plan.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(emit, "a long, b long")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
+    """(a, b, ok) of the pairs (a, b): the whole sets, made from the texts that hold them, are compared.
 
     Every b meets its partners in groups of at most about SPOKES, so that a hub is spread over tasks."""
-    pairs = cut(pairs.select(F.col("a"), F.col("b")))
+    pairs = cut(pairs.select("a", "b").distinct())
     hubs = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("salts"))
     spokes = pairs.join(hubs, F.col("b") == F.col("hub")).select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     centres = hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = spokes.unionAll(centres)
-    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = carriers.join(needed, "node", "left_semi").select(F.col("doc_id").alias("carrier"))
+    needed = wanted.select(F.col("node").alias("needed")).distinct()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +289,7 @@ def verified(docs: DataFrame, pairs: DataFrame, carriers: DataFrame, shingle: in
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield _batch(["set_node", "tokens"], set_names(tokens, ends), lists)
 
-    sets = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("carrier"), "left_semi").select("text").mapInArrow(emit, "set_node long, tokens array<long>")
+    sets = texts.mapInArrow(emit, "set_node long, tokens array<long>").join(needed, F.col("set_node") == F.col("needed"), "left_semi")
     rows = wanted.join(sets, F.col("node") == F.col("set_node")).select("hub", "salt", "role", "node", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,59 +317,111 @@ def verified(docs: DataFrame, pairs: DataFrame, carriers: DataFrame, shingle: in
     return cut(met.mapInArrow(compare, "a long, b long, ok boolean").distinct())
 
 
-def set_components(docs: DataFrame, nodes: DataFrame, shingle: int, plan: Plan) -> DataFrame:
+def forest(pivot: np.ndarray, node: list[int], n: np.ndarray, comp: list[int], sketch: list[bytes], failed: list, plan: Plan) -> list[tuple[int, int]]:
+    """Pairs of a bucket that may be similar and join two components: the nearest few of each member, and what a spanning forest needs."""
+    rows, found, out = folded_rows(sketch), [], set()
+    kinds = np.unique(np.array(comp), return_inverse=True)[1]
+    biggest = np.bincount(kinds).argmax()
+    for i in np.flatnonzero(pivot & (kinds != biggest)):
+        apart = np.bitwise_count(rows ^ rows[i]).sum(axis=1).astype(np.int64)
+        near = (kinds != kinds[i]) & (apart * (100 + plan.percent) <= (n + n[i]) * (100 - plan.percent)) & (n * 100 >= n[i] * plan.percent) & (n[i] * 100 >= n * plan.percent)
+        bad = set(failed[i] or ())
+        mine = sorted((int(apart[j]), min(node[i], node[j]), max(node[i], node[j]), int(kinds[i]), int(kinds[j])) for j in np.flatnonzero(near) if node[j] not in bad)
+        found += mine
+        out.update(x[1:3] for x in mine[:NEAREST])
+    root = list(range(int(kinds.max()) + 1))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, a, b, x, y in sorted(found):
+        if top(x) != top(y):
+            root[top(x)] = top(y)
+            out.add((a, b))
+    return sorted(out)
+
+
+def bucket_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b), a > b: the forests of all buckets; rows: (bucket, members, node, n, comp, sketch, failed)."""
+    salts = F.ceil(F.col("members") / PIVOTS).cast("int")
+    rows = rows.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), (F.pmod(F.xxhash64("node"), salts)).cast("int").alias("own"), "node", "n", "comp", "sketch", "failed")
+    rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def close() -> list[tuple[int, int]]:
+            if len(group) < 2:
+                return []
+            own, node, n, comp, sketch, failed = zip(*group, strict=True)
+            return forest(np.array(own) == key[1], list(node), np.array(n, np.int64), list(comp), list(sketch), list(failed), plan)
+
+        for batch in batches:
+            out = []
+            for bucket, salt, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, salt) != key:
+                    out += close()
+                    key, group = (bucket, salt), []
+                group.append(cells)
+            yield _batch(["a", "b"], np.array([b for _, b in out], np.int64), np.array([a for a, _ in out], np.int64))
+        out = close()
+        yield _batch(["a", "b"], np.array([b for _, b in out], np.int64), np.array([a for a, _ in out], np.int64))
+
+    return rows.mapInArrow(emit, "a long, b long").distinct()
+
+
+def set_components(docs: DataFrame, nodes: DataFrame, shingle: int, plan: Plan, hot: int = HOT) -> DataFrame:
     """(node, component) of the sets that are linked with any; nodes: the rows of document_sets."""
     known = nodes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    carriers = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    facts = known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "spare_own", "spare_next")])
     links = cut(star_links(docs, shingle, plan))
-    tried = verified(docs, links.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), carriers, shingle, plan)
-    found = tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    member = cut(components(found))
-    if tried.where("not ok").isEmpty():
-        return member
-    failed = tried.where("not ok").select(F.col("a").alias("fa"), F.col("b").alias("fb"))
-    broken = links.join(failed, (F.col("node") == F.col("fa")) & (F.col("centre") == F.col("fb"))).select(F.col("bucket").alias("open")).distinct()
+    texts = cut(set_carriers(docs, links, known))
+    told = links.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    tried = verified(texts, possible(told, facts.select("node", "n", "sketch"), plan), shingle, plan)
+    member = cut(components(tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    linked = tried.where("ok").select(F.col("a").alias("la"), F.col("b").alias("lb"))
+    broken = links.join(linked, (F.col("node") == F.col("la")) & (F.col("centre") == F.col("lb")), "left_anti").select(F.col("bucket").alias("open")).distinct()
     rows = links.join(broken, F.col("bucket") == F.col("open"), "left_semi")
     rows = rows.select("bucket", "node").unionAll(rows.select("bucket", F.col("centre").alias("node"))).distinct()
-    facts = known.groupBy("node").agg(F.first("n").alias("n"), F.first("spare_own").alias("spare_own"), F.first("spare_next").alias("spare_next"))
-    starts = plan.starts
-    rows = rows.join(facts, "node")
-    group = F.col("bucket").bitwiseAND(F.lit(255))
-    size_band = F.array_position(F.transform(F.array(*[F.lit(int(s)) for s in starts]), lambda s: s <= F.col("n")), False)
-    size_band = F.when(size_band == 0, F.lit(len(starts))).otherwise(size_band) - 2
-    spare = F.when(group == size_band, F.col("spare_own")).otherwise(F.col("spare_next"))
-    rows = cut(rows.select("bucket", "node", "n", group.alias("band"), spare.alias("spare"), F.lit(False).alias("done")))
-    pivots, dropped = 4, False
+    rows = open_rows(rows, member)
+    # a set may miss as many hot buckets as it has slack; it stays in all of them if they are more
+    starts = F.array(*[F.lit(int(s)) for s in plan.starts])
+    own_band = F.size(F.filter(starts, lambda s: s <= F.col("n"))) - 1
+    spare = F.when(F.col("bucket").bitwiseAND(F.lit(255)) == own_band, F.col("spare_own")).otherwise(F.col("spare_next"))
+    rows = rows.join(facts.drop("sketch"), "node").withColumn("band", F.col("bucket").bitwiseAND(F.lit(255))).withColumn("spare", spare)
+    hots = rows.where(F.col("members") > hot).groupBy(F.col("node").alias("h"), F.col("band").alias("hb")).agg(F.count("*").alias("hots"))
+    rows = rows.join(hots, (F.col("node") == F.col("h")) & (F.col("band") == F.col("hb")), "left")
+    rows = cut(rows.where((F.col("members") <= hot) | (F.col("hots") > F.col("spare"))).select("bucket", "node"))
     while True:
-        at = member.select(F.col("node").alias("m"), "component")
-        now = rows.join(at, F.col("node") == F.col("m"), "left").withColumn("comp", F.coalesce("component", "node")).drop("m", "component")
-        open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select(F.col("bucket").alias("b"), "members")
-        now = now.join(open_, F.col("bucket") == F.col("b")).drop("b")
-        if not dropped:
-            # a set may miss as many hot buckets as it has slack; it stays in all of them if they are more
-            hot = now.where(F.col("members") > HOT).groupBy(F.col("node").alias("h"), F.col("band").alias("hb")).agg(F.count("*").alias("hots"))
-            now = now.join(hot, (F.col("node") == F.col("h")) & (F.col("band") == F.col("hb")), "left").drop("h", "hb")
-            now = now.where((F.col("members") <= HOT) | (F.col("hots") > F.col("spare"))).drop("hots")
-            dropped = True
-        now = cut(now)
-        order = Window.partitionBy("bucket").orderBy(F.col("done"), F.xxhash64("node"), "node")
-        ranked = now.withColumn("turn", F.row_number().over(order))
-        pivot = ranked.where((F.col("turn") <= pivots) & ~F.col("done")).select(F.col("bucket").alias("pb"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-        if pivot.isEmpty():
+        now = open_rows(rows, member)
+        # buckets of the same members have the same pairs; one stands for all
+        same = now.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("who"), F.count("*").alias("size"))
+        one = same.groupBy("who", "size").agg(F.min("bucket").alias("b"))
+        now = cut(now.drop("members").join(one.select("b", F.col("size").alias("members")), F.col("bucket") == F.col("b")).drop("b"))
+        if now.isEmpty():
+            return member
+        bad = tried.where("not ok")
+        bad = bad.select(F.col("a").alias("f"), F.col("b").alias("other")).unionAll(bad.select(F.col("b").alias("f"), F.col("a").alias("other"))).groupBy("f").agg(F.collect_set("other").alias("failed"))
+        full = now.join(facts.select("node", "n", "sketch"), "node").join(bad, F.col("node") == F.col("f"), "left")
+        more = verified(texts, bucket_pairs(full.select("bucket", "members", "node", "n", "comp", "sketch", "failed"), plan), shingle, plan)
+        if more.isEmpty():
             return member
-        sized = (F.col("n") * 100 >= F.col("pn") * plan.percent) & (F.col("pn") * 100 >= F.col("n") * plan.percent)
-        pairs = now.join(pivot, (F.col("bucket") == F.col("pb")) & (F.col("comp") != F.col("pc")) & sized)
-        pairs = pairs.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
-        seen = tried.select(F.greatest("a", "b").alias("sa"), F.least("a", "b").alias("sb"))
-        more = verified(docs, pairs.join(seen, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti"), carriers, shingle, plan)
         tried = cut(tried.unionAll(more))
         extra = more.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not extra.isEmpty():
             member = cut(components(member.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(extra)))
-        done = pivot.select(F.col("pb").alias("db"), F.col("p").alias("dn"))
-        now = now.drop("comp", "members").join(done, (F.col("bucket") == F.col("db")) & (F.col("node") == F.col("dn")), "left")
-        rows = cut(now.withColumn("done", F.col("done") | F.col("dn").isNotNull()).drop("db", "dn"))
-        pivots *= 2
+        rows = now.select("bucket", "node")
+
+
+def open_rows(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """(bucket, node, comp, members) of the buckets whose members lie in more than one component; rows: (bucket, node)."""
+    now = rows.join(member.select(F.col("node").alias("m"), "component"), F.col("node") == F.col("m"), "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select(F.col("bucket").alias("b"), "members")
+    return now.join(open_, F.col("bucket") == F.col("b")).drop("b")
 
 
 def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
