@@ -35,7 +35,7 @@ def test_agrees_with_sql(spark, duck, name):
     assert rows(engine.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(engine.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(engine.QUERIES) - set(engine.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(engine.QUERIES) - set(engine.ORACLES) - {"audit_findings"}))  # test_audit.py holds that one against scenarios
 def test_runs_twice_alike(spark, name):
     first = engine.QUERIES[name](spark, DATA).toPandas()
     assert len(first.columns) and rows(first) == rows(engine.QUERIES[name](spark, DATA).toPandas())
