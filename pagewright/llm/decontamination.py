@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages. Their TF-IDF matrix, with document frequencies counted over the whole corpus, gets a
-randomised SVD whose products are summed from distributed partial products. Every document is folded in as overlapping windows
-over its whole text; windows whose latent cosine with a passage and share of its weight are high enough are candidates, and the
-longest common subsequence of words decides: nearly verbatim passages are leaks, looser ones only when the passage's answer
-terms, its rarest, are there too. Only the index, bounded by the items of a block, is sent to the executors; a larger benchmark
-is taken in blocks of items. Documents are neither shuffled nor collected.
+Benchmark items are cut into passages. Their TF-IDF matrix, with document frequencies counted over the whole corpus, is cut into
+parts of at most `rank` passages, and each part gets a randomised SVD of its own, whose products are summed from distributed
+partial products: the latent space of a part holds its passages whole, so products in it are those of the full matrix. Every
+document is folded in as overlapping windows over its whole text. Windows that hold a high enough share of a passage's weight are
+candidates, and the longest common subsequence of words decides: nearly verbatim passages are leaks; looser ones only when the
+latent cosine is high enough and the passage's answer terms, its rarest, are there too. Only the index, bounded by the items of a
+block, is sent to the executors; a larger benchmark is taken in blocks of items. Documents are neither shuffled nor collected.
 
 Defined cases: null and empty texts hold no leak, null and empty items leak nowhere, items of under `least_words` words are too
 short to tell and are skipped; repeated rows are reported alike; empty tables give an empty result; other columns are not read.
@@ -45,10 +46,10 @@ class Settings:
 
 
 @dataclass
-class Index:
-    terms: dict[str, int]
-    latent: np.ndarray  # a row for each term: its idf times its latent coordinates; the last row is 0, for other words
-    bound: np.ndarray  # most that one such word adds to the product with any passage
+class Part:
+    place: np.ndarray  # the row in latent of each of the index's terms
+    latent: np.ndarray  # a row for each term of the part: its idf times its latent coordinates; the last row is 0, for other words
+    bound: np.ndarray  # most that one word of each of the index's terms adds to the product with any passage
     passages: np.ndarray  # latent coordinates
     norms: np.ndarray
     words: list[np.ndarray]
@@ -57,6 +58,12 @@ class Index:
     masks: list[dict[int, int]] = field(default_factory=list)
 
 
+@dataclass
+class Index:
+    terms: dict[str, int]
+    parts: list[Part]
+
+
 def folded(words: Words) -> list[str]:
     return [w.strip(STRIP).lower() for w in words.uniq.to_pylist()]
 
@@ -165,16 +172,23 @@ def build_index(docs: DataFrame, items: DataFrame, s: Settings) -> Index | None:
         return None
     held, total = document_frequency(docs, terms)
     idf = np.log((total + 1) / (held + 1)) + 0.05
-    spark = docs.sparkSession
-    frame = spark.createDataFrame([(p.tolist(),) for p in cut_up], "codes array<long>").repartition(max(1, min(8, len(cut_up) // 64)))
-    v = randomised_svd(frame, len(terms), idf, s.rank, s.extra)
-    latent = np.concatenate([idf[:, None] * v, np.zeros((1, v.shape[1]))]).astype(np.float32)
-    most = np.zeros(len(terms) + 1)
+    n_parts = math.ceil(len(cut_up) / s.rank)
+    return Index(terms, [build_part(docs, [cut_up[k] for k in at], [owners[k] for k in at], idf, s) for at in np.array_split(np.arange(len(cut_up)), n_parts)])
+
+
+def build_part(docs: DataFrame, cut_up: list[np.ndarray], owners: list[int], idf: np.ndarray, s: Settings) -> Part:
+    own = np.unique(np.concatenate(cut_up))
+    place = np.full(len(idf) + 1, len(own))
+    place[own] = np.arange(len(own))
+    frame = docs.sparkSession.createDataFrame([(place[p].tolist(),) for p in cut_up], "codes array<long>").repartition(max(1, min(8, len(cut_up) // 64)))
+    v = randomised_svd(frame, len(own), idf[own], len(cut_up), s.extra)
+    latent = np.concatenate([idf[own][:, None] * v, np.zeros((1, v.shape[1]))]).astype(np.float32)
+    most = np.zeros(len(idf) + 1)
     passages, answers, masks = [], [], []
     for p in cut_up:
         c, tf = np.unique(p, return_counts=True)
         np.maximum.at(most, c, tf)
-        passages.append((tf[:, None] * latent[c]).sum(0))
+        passages.append((tf[:, None] * latent[place[c]]).sum(0))
         answers.append(c[np.lexsort((c, -idf[c]))][: s.answers])
         at: dict[int, int] = {}
         for k, x in enumerate(p.tolist()):
@@ -182,7 +196,7 @@ def build_index(docs: DataFrame, items: DataFrame, s: Settings) -> Index | None:
         masks.append(at)
     matrix = np.array(passages, np.float32)
     bound = most * np.concatenate([idf**2, [0]])
-    return Index(terms, latent, bound, matrix, np.linalg.norm(matrix, axis=1), cut_up, owners, answers, masks)
+    return Part(place, latent, bound, matrix, np.linalg.norm(matrix, axis=1), cut_up, owners, answers, masks)
 
 
 def search(index: Index, words: Words, s: Settings) -> list[tuple[int, int, str, int, int, float, int]]:
@@ -205,38 +219,42 @@ def search(index: Index, words: Words, s: Settings) -> list[tuple[int, int, str,
     chunk = at_chunk[who] + np.arange(len(who)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     first = start[chunk] if len(chunk) else chunk
     last = np.minimum(first + s.window, ends[who + 1])
-    mass = np.concatenate([[0], np.cumsum(index.bound[codes])])
-    # no window below this can reach the cover that is asked for
-    hopeful = np.flatnonzero(mass[last] - mass[first] >= s.cover * float((index.norms**2).min()) * 0.999)
-    sums = np.zeros((len(grid) + 1, index.latent.shape[1]), np.float32)
-    for at in range(0, len(grid), 4096):
-        block = sums[at : min(at + 4096, len(grid))]
-        for k in range(s.stride):
-            block += index.latent[grid[at : at + 4096, k]]
     best: dict[tuple[int, int], tuple] = {}
-    for at in range(0, len(hopeful), 4096):
-        some = hopeful[at : at + 4096]
-        x = sums[chunk[some]]
-        for k in range(1, s.window // s.stride):
-            there = chunk[some] + k
-            x = x + sums[np.where(there < at_chunk[who[some] + 1], there, len(grid))]
-        products = x @ index.passages.T
-        norm = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
-        cosine = products / norm[:, None] / np.maximum(index.norms, 1e-9)
-        for i, j in zip(*np.nonzero((cosine >= s.cosine) & (products >= s.cover * index.norms**2)), strict=True):
-            w = int(some[i])
-            window = codes[first[w] : last[w]]
-            size = len(index.words[j])
-            length = common_length(index.masks[j], size, window)
-            kind = ""
-            if length >= s.verbatim * size:
-                kind = "verbatim"
-            elif length >= s.paraphrase * size and np.isin(index.answers[j], window).mean() >= s.answer_share:
-                kind = "paraphrase"
-            if kind:
-                key, row = (int(who[w]), index.items[j]), (length / size, kind, length, size, float(cosine[i, j]), int(first[w] - ends[who[w]]))
-                if key not in best or row > best[key]:
-                    best[key] = row
+    for part in index.parts:
+        mass = np.concatenate([[0], np.cumsum(part.bound[codes])])
+        # no window below this can reach the cover that is asked for
+        hopeful = np.flatnonzero(mass[last] - mass[first] >= s.cover * float((part.norms**2).min()) * 0.999)
+        if not len(hopeful):
+            continue
+        rows = part.place[grid]
+        sums = np.zeros((len(grid) + 1, part.latent.shape[1]), np.float32)
+        for at in range(0, len(grid), 4096):
+            block = sums[at : min(at + 4096, len(grid))]
+            for k in range(s.stride):
+                block += part.latent[rows[at : at + 4096, k]]
+        for at in range(0, len(hopeful), 4096):
+            some = hopeful[at : at + 4096]
+            x = sums[chunk[some]]
+            for k in range(1, s.window // s.stride):
+                there = chunk[some] + k
+                x = x + sums[np.where(there < at_chunk[who[some] + 1], there, len(grid))]
+            products = x @ part.passages.T
+            norm = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
+            for i, j in zip(*np.nonzero(products >= s.cover * part.norms**2), strict=True):
+                w = int(some[i])
+                window = codes[first[w] : last[w]]
+                size = len(part.words[j])
+                length = common_length(part.masks[j], size, window)
+                cosine = float(products[i, j] / norm[i] / max(part.norms[j], 1e-9))
+                kind = ""
+                if length >= s.verbatim * size:
+                    kind = "verbatim"
+                elif length >= s.paraphrase * size and cosine >= s.cosine and np.isin(part.answers[j], window).mean() >= s.answer_share:
+                    kind = "paraphrase"
+                if kind:
+                    key, row = (int(who[w]), part.items[j]), (length / size, kind, length, size, cosine, int(first[w] - ends[who[w]]))
+                    if key not in best or row > best[key]:
+                        best[key] = row
     return [(d, item, kind, length, size, cos, start) for (d, item), (_, kind, length, size, cos, start) in best.items()]
 
 

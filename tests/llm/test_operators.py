@@ -1,6 +1,7 @@
 """Similarity, substrings, mixing, decontamination, archives and the classifiers against brute force, round trips and held-out rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -146,6 +147,18 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(frame.limit(0), bench).count() == 0 and decontamination.decontaminate(frame, bench.limit(0)).count() == 0
 
 
+def test_verbatim_items_of_a_full_block_are_found(spark):
+    rng = random.Random(12)
+    words = [f"term{i}" for i in range(3000)]
+    often = list(itertools.accumulate(1 / (i + 1) for i in range(3000)))
+    zipf = lambda n: rng.choices(words, cum_weights=often, k=n)
+    items = [(i, " ".join(zipf(rng.randrange(8, 21)))) for i in range(1024)]
+    docs = [(i, " ".join([*zipf(60), text, *zipf(60)])) for i, text in items]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(frame, bench).collect()}
+    assert not [i for i, _ in items if (i, i) not in got]
+
+
 def test_common_length_by_brute_force():
     rng = random.Random(8)
     for _ in range(50):
