@@ -115,6 +115,29 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert sum(got[i] for i in range(60)) >= 50 and sum(got[100 + i] for i in range(40)) <= 4
 
 
+def test_random_tokens_of_every_encoding_are_added(spark):
+    import random
+    import string
+
+    random.seed(6)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    sets = {"base32": lower + "234567", "base36": lower + digits, "BASE36": upper + digits, "base62": upper + lower + digits, "base64": upper + lower + digits + "+/"}
+    few = lambda t: sum(c in digits for c in t) < 2
+    rows, kinds = [], {}
+    for name, symbols in sets.items():
+        for _ in range(80):
+            kinds[len(rows)] = name
+            rows.append((len(rows), "".join(random.choice(symbols) for _ in range(30))))
+    while sum(k == "few digits" for k in kinds.values()) < 80:
+        token = "".join(random.choice(sets["base64"]) for _ in range(30))
+        if few(token):
+            kinds[len(rows)] = "few digits"
+            rows.append((len(rows), token))
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for name in set(kinds.values()):
+        assert sum(got[i] for i, k in kinds.items() if k == name) >= 66, name
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "é token=abcdef0123456789abcdef01 end", 36), (2, "plain", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.masked(docs, docs.columns).collect()}
