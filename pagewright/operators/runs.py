@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,22 +104,29 @@ def anchorable_runs(blocks: DataFrame, per_page: int = 10, least: int = 12, long
 
 
 def shared_preamble(openings: DataFrame, least_pages: int = 4, least_chars: int = 400) -> DataFrame:
-    """(site_id, preamble, pages): the longest opening that half of a site's pages or more share; openings: (site_id, page_id, text)."""
-
-    def fold_site(site: pd.DataFrame) -> pd.DataFrame:
-        texts = site.sort_values("page_id")["text"].fillna("").tolist()
-        need, found = math.ceil(len(texts) / 2), ""
-        if len(texts) >= least_pages:
-            longest = max(texts, key=len)
-            lo, hi = 0, len(longest)  # sharing falls as the opening grows, so halving finds its end
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if sum(t.startswith(longest[:mid]) for t in texts) >= need else (lo, mid - 1)
-            found = longest[:lo] if lo >= least_chars else ""
-        n = sum(t.startswith(found) for t in texts) if found else 0
-        return pd.DataFrame({"site_id": [site["site_id"].iloc[0]], "preamble": [found or None], "pages": [n]})
-
-    return openings.groupBy("site_id").applyInPandas(fold_site, "site_id string, preamble string, pages long")
+    """(site_id, preamble, pages): the longest opening of a site's longest text that half of its pages or more share; openings: (site_id, page_id, text).
+
+    Of texts that are equally long the one of the least page_id counts. Only lengths are grouped by site, not texts."""
+    rows = openings.select("site_id", "page_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.length("text"))
+    sites = rows.groupBy(F.col("site_id").alias("site")).agg(F.count("*").alias("n"), F.max("size").alias("most"))
+    same = F.col("site_id").eqNullSafe(F.col("site"))
+    first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "text"))
+    longest = rows.join(sites, same & (F.col("size") == F.col("most"))).groupBy("site", "n", "most").agg(first["text"].alias("longest"))
+
+    def grown(shared: Column, step: Column) -> Column:
+        k = shared + step
+        fits = (k <= F.col("size")) & F.startswith(F.col("text"), F.substring(F.col("longest"), F.lit(1), k))
+        return F.when(fits, k).otherwise(shared)
+
+    # sharing falls as the opening grows, so halving steps find its end; a text has fewer than 2^31 characters
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(31))])
+    shared = rows.join(longest, same).select("site", F.aggregate(steps, F.lit(0), grown).alias("chars")).groupBy("site", "chars").agg(F.count("*").alias("held"))
+    longer = Window.partitionBy("site").orderBy(F.desc("chars"))
+    shared = shared.withColumn("pages", F.sum("held").over(longer)).withColumnRenamed("site", "site_id")
+    ends = shared.join(longest.select("site", "n"), same).where("2 * pages >= n").groupBy("site_id").agg(F.max(F.struct("chars", "pages")).alias("end"))
+    enough = (F.col("n") >= least_pages) & (F.col("end.chars") >= least_chars)
+    found = F.when(enough, F.substring(F.col("longest"), F.lit(1), F.col("end.chars")))
+    return ends.join(longest, same).select("site_id", found.alias("preamble"), F.when(enough, F.col("end.pages")).otherwise(F.lit(0).cast("long")).alias("pages"))
 
 
 def name_groups(names: DataFrame) -> DataFrame:

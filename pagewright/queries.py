@@ -410,7 +410,7 @@ def anchorable_runs(spark, sf_dir):
 @query()
 def shared_preamble(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return N.shared_preamble(docs.select(F.col("source").alias("site_id"), F.col("doc_id").alias("page_id"), F.substring("text", 1, 3000).alias("text")))
+    return N.shared_preamble(docs.select(F.col("source").alias("site_id"), F.col("doc_id").alias("page_id"), "text"))
 
 
 @query()
