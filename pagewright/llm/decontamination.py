@@ -8,8 +8,8 @@ candidates, and the longest common subsequence of words decides: nearly verbatim
 latent cosine is high enough and the passage's answer terms, its rarest, are there too. Only the index, bounded by the items of a
 block, is sent to the executors; a larger benchmark is taken in blocks of items. Documents are neither shuffled nor collected.
 
-Defined cases: null and empty texts hold no leak, null and empty items leak nowhere, items of under `least_words` words are too
-short to tell and are skipped; repeated rows are reported alike; empty tables give an empty result; other columns are not read.
+Defined cases: null and empty texts hold no leak, null and empty items leak nowhere, items of under `least_words` words leak
+where all their words stand in a row, as verbatim with a cosine of 1; repeated rows are reported alike; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, slices, split_words
+from .words import Words, rolling, slices, split_words
 
 STRIP = ".,;:!?\"'()[]{}#*$%&|<>-_~`"
 
@@ -62,6 +62,7 @@ class Part:
 class Index:
     terms: dict[str, int]
     parts: list[Part]
+    short: dict[tuple[int, ...], list[int]]  # items of under least_words words, by their codes
 
 
 def folded(words: Words) -> list[str]:
@@ -160,7 +161,7 @@ def build_index(docs: DataFrame, items: DataFrame, s: Settings) -> Index | None:
     names = folded(words)
     terms = {w: i for i, w in enumerate(sorted({w for w in names if w}))}
     codes = term_codes(words, terms)
-    cut_up, owners = [], []
+    cut_up, owners, short = [], [], {}
     for i, (item, _) in enumerate(rows):
         own = codes[words.offsets[i] : words.offsets[i + 1]]
         own = own[own >= 0]
@@ -168,12 +169,14 @@ def build_index(docs: DataFrame, items: DataFrame, s: Settings) -> Index | None:
             for p in cut_passages(own, s.passage):
                 cut_up.append(p)
                 owners.append(item)
+        elif len(own):
+            short.setdefault(tuple(own.tolist()), []).append(item)
     if not cut_up:
-        return None
+        return Index(terms, [], short) if short else None
     held, total = document_frequency(docs, terms)
     idf = np.log((total + 1) / (held + 1)) + 0.05
     n_parts = math.ceil(len(cut_up) / s.rank)
-    return Index(terms, [build_part(docs, [cut_up[k] for k in at], [owners[k] for k in at], idf, s) for at in np.array_split(np.arange(len(cut_up)), n_parts)])
+    return Index(terms, [build_part(docs, [cut_up[k] for k in at], [owners[k] for k in at], idf, s) for at in np.array_split(np.arange(len(cut_up)), n_parts)], short)
 
 
 def build_part(docs: DataFrame, cut_up: list[np.ndarray], owners: list[int], idf: np.ndarray, s: Settings) -> Part:
@@ -199,6 +202,21 @@ def build_part(docs: DataFrame, cut_up: list[np.ndarray], owners: list[int], idf
     return Part(place, latent, bound, matrix, np.linalg.norm(matrix, axis=1), cut_up, owners, answers, masks)
 
 
+def short_items(index: Index, codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, words, first word) of every item of under least_words words whose words stand in a row."""
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    for n in {len(words) for words in index.short}:
+        if len(codes) < n:
+            continue
+        wanted = np.array([words for words in index.short if len(words) == n], np.int64)
+        hashed = rolling(codes.astype(np.uint64), n)
+        like = np.unique(np.concatenate([rolling(words.astype(np.uint64), n) for words in wanted]))
+        at = np.flatnonzero(np.isin(hashed, like) & (owner[: len(hashed)] == owner[n - 1 :]))
+        for i in at.tolist():
+            for item in index.short.get(tuple(codes[i : i + n].tolist()), ()):
+                yield int(owner[i]), item, n, i - int(ends[owner[i]])
+
+
 def search(index: Index, words: Words, s: Settings) -> list[tuple[int, int, str, int, int, float, int]]:
     """(text, item, kind, common words, passage words, cosine, first word of the window) of the best window for each text and item."""
     codes, offsets = term_codes(words, index.terms), words.offsets
@@ -255,6 +273,10 @@ def search(index: Index, words: Words, s: Settings) -> list[tuple[int, int, str,
                     key, row = (int(who[w]), part.items[j]), (length / size, kind, length, size, cosine, int(first[w] - ends[who[w]]))
                     if key not in best or row > best[key]:
                         best[key] = row
+    for d, item, size, start in short_items(index, codes, ends):
+        key, row = (d, item), (1.0, "verbatim", size, size, 1.0, start)
+        if key not in best or row > best[key]:
+            best[key] = row
     return [(d, item, kind, length, size, cos, start) for (d, item), (_, kind, length, size, cos, start) in best.items()]
 
 

@@ -159,6 +159,17 @@ def test_verbatim_items_of_a_full_block_are_found(spark):
     assert not [i for i, _ in items if (i, i) not in got]
 
 
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "one two three four five six seven"), (3, "who wrote hamlet"), (4, "Paris"), (5, "?!"), (6, "lonely")]
+    texts = ["He asked: who WROTE - Hamlet?", "who wrote the hamlet", "hamlet", "zero one two three four five six seven", "one two three four five six", "in Paris, wrote", "who wrote", None, "?!"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([*items, (7, " ".join(VOCABULARY[:20]))], "item_id long, text string")
+    want = {(0, 1, "verbatim", 2), (0, 3, "verbatim", 2), (3, 2, "verbatim", 1), (5, 4, "verbatim", 1)}
+    for some in (bench, bench.where("item_id < 7")):  # with and without longer items
+        assert {(r["doc_id"], r["item_id"], r["kind"], r["start_word"]) for r in decontamination.decontaminate(frame, some).collect()} == want
+    assert [r["doc_id"] for r in decontamination.clean(frame, bench, frame.columns).orderBy("doc_id").collect()] == [1, 2, 4, 6, 7, 8]
+
+
 def test_common_length_by_brute_force():
     rng = random.Random(8)
     for _ in range(50):
