@@ -430,25 +430,47 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     Documents with equal non-empty sets are linked; null and empty texts have an empty set and are linked with nothing. Rows with
     a null doc_id take part in no link and have no component. Rows that repeat a doc_id each get a row, of their own text's set and
     component. An empty table gives an empty result; other columns are not read."""
+    return classes(docs, shingle, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node, class) of every row; node and class, its set and linked sets, are null where it takes part in no link."""
     plan = Plan(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = cut(document_sets(docs, shingle, plan))
     member = set_components(docs, nodes, shingle, plan).select(F.col("node").alias("m"), "component")
     rows = nodes.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    classed = rows.join(member, F.col("node") == F.col("m"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("class"))
+    classed = rows.join(member, F.col("node") == F.col("m"), "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
     least = classed.where(F.col("class").isNotNull()).groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("least"))
     out = classed.join(least, F.col("class") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "node", "class")
+
+
+def with_node(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs and __node, the set of the row's text, null for an empty one."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                tokens, ends = shingle_sets(split_words(part.column("text"), lower=True), shingle)
+                node = pa.array(set_names(tokens, ends), pa.int64(), mask=np.diff(ends) == 0)
+                yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "__node"])
+
+    return docs.mapInArrow(emit, docs.select("*", F.lit(None).cast("long").alias("__node")).schema)
 
 
 def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each component does: the one with the least doc_id.
 
-    Rows with a null doc_id cannot be told apart and all stay; of rows that repeat a doc_id one stays."""
-    found = cut(jaccard_join(docs, shingle, percent))
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.select(*columns).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    Rows with a null doc_id cannot be told apart and all stay. Where ids repeat each row goes by its own text: of rows that
+    share a doc_id and a component one stays, and of those with no words one for each text."""
+    found = cut(classes(docs, shingle, percent))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.xxhash64(c) for c in columns])
-    return kept.withColumn("__turn", F.row_number().over(order)).where("__turn = 1 or doc_id is null").drop("__turn")
+        gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+        return docs.select(*columns).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    held = found.where("node is not null").select(F.col("doc_id").alias("__id"), F.col("node").alias("__set"), F.col("class").alias("__class"), (F.col("component_id") < F.col("doc_id")).alias("__gone")).distinct()
+    rows = with_node(docs.select(*columns), shingle).join(held, (F.col("doc_id") == F.col("__id")) & (F.col("__node") == F.col("__set")), "left")
+    wordless = F.when(F.col("__class").isNull(), F.col("text"))
+    order = Window.partitionBy("doc_id", "__class", wordless).orderBy(F.xxhash64("text"), *[F.xxhash64(c) for c in columns])
+    kept = rows.where(~F.coalesce("__gone", F.lit(False))).withColumn("__turn", F.row_number().over(order))
+    return kept.where("__turn = 1 or doc_id is null").select(*columns)

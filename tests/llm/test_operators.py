@@ -72,6 +72,17 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_go_by_their_own_texts(spark):
+    rng = random.Random(14)
+    base, clean, other = (prose(rng, 60) for _ in range(3))
+    near = " ".join(base[:30] + ["changed"] + base[31:])
+    base, clean, other = map(" ".join, (base, clean, other))
+    rows = [(1, base), (2, near), (2, clean), (3, clean), (4, other), (4, other + " end"), (5, ""), (5, ""), (5, None), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.one_of_each(docs, docs.columns).collect()
+    assert Counter((r["doc_id"], (r["text"] or "").removesuffix(" end")) for r in got) == Counter([(1, base), (2, clean), (4, other), (5, ""), (5, ""), (None, base)])
+
+
 def test_sketches_never_overstate():
     rng, plan = np.random.default_rng(2), jaccard_join.Plan(80)
     for _ in range(50):
