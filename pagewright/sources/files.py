@@ -7,6 +7,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
@@ -18,10 +19,25 @@ STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 
 
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(good rows, broken rows): a file that cannot be read is a broken row with its path, never a failed job."""
-    rows = spark.read.schema(schema + ", _corrupt string").option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.withColumn("_path", F.col("_metadata.file_path"))
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_path", "_corrupt")
+    """(good rows, broken rows): a file, or line, that cannot be read is a broken row with its path, never a failed job.
+
+    Good rows have the schema's columns and _path, broken ones _path and _corrupt, the text. A file that holds an array gives a row for
+    each of its objects. Empty lines and files of no bytes are passed over."""
+    raw = spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("_path"))
+    raw = raw.where(F.trim("value") != "") if lines else raw
+    one = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    many = F.from_json("value", f"array<struct<{_typed(schema)}>>", {"mode": "PERMISSIVE"})
+    rows = raw.withColumn("is_list", F.col("value").rlike(r"^\s*\[")).withColumn("one", F.when(~F.col("is_list"), one)).withColumn("many", F.when(F.col("is_list"), many))
+    names = [f.name for f in T_.StructType.fromDDL(schema)]
+    item = lambda source: [F.col(f"{source}.{n}").alias(n) for n in names]
+    singles = rows.where("one is not null and one._corrupt is null").select(*item("one"), "_path")
+    listed = rows.where("many is not null").select(F.explode("many").alias("item"), "_path").where("item is not null").select(*item("item"), "_path")
+    broken = rows.where("coalesce(one._corrupt, if(one is null and many is null, value, null)) is not null").select("_path", F.col("value").alias("_corrupt"))
+    return singles.unionByName(listed), broken
+
+
+def _typed(schema: str) -> str:
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in T_.StructType.fromDDL(schema))
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:

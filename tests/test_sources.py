@@ -12,6 +12,16 @@ def test_json_with_broken_file(spark, tmp_path):
     assert good.count() == 1 and broken.first()["_path"].endswith("b.json")
 
 
+def test_json_lines_and_lists(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": \n{"k": 2, "other": 3}\n"text"\n')
+    good, broken = S.read_json(spark, str(tmp_path / "a.jsonl"), "k long, name string", lines=True)
+    assert sorted(r["k"] for r in good.collect()) == [1, 2] and sorted(r["_corrupt"] for r in broken.collect()) == ['"text"', '{"k": ']
+    (tmp_path / "b.json").write_text('[{"k": 5},\n {"name": "x"}]')
+    (tmp_path / "c.json").write_text(" ")
+    good, broken = S.read_json(spark, str(tmp_path / "[bc].json"), "k long, name string")
+    assert {(r["k"], r["name"]) for r in good.collect()} == {(5, None), (None, "x")} and broken.count() == 1
+
+
 def test_latest_file(spark, tmp_path):
     (tmp_path / "a.json").write_text("{}")
     time.sleep(1.1)
