@@ -11,17 +11,22 @@ from pyspark.sql import functions as F
 
 #: One separator run between words: space and the ASCII controls 9 to 13.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
+#: Bytes of an Arrow batch, from the JVM to a Python worker.
+BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local session gets one of its own; a cluster must set it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
         if not found:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="pagewright-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
@@ -35,11 +40,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_arrow(df: DataFrame, emit, schema) -> DataFrame:
+    """df.mapInArrow(emit, schema) with batches bounded by bytes, unless the session has a bound of its own: whole texts vary by
+    orders of magnitude, and a batch stands in the memory of the JVM and of its worker at once."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES_KEY, None) is None:
+        conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
+    return df.mapInArrow(emit, schema)
+
+
 def words_of(text: Column) -> Column:
     """All words of a text as an array; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), "")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their literal names, whatever these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_names(taken: list[str], *names: str) -> dict[str, str]:
+    """For each name one that no column has, in whatever case."""
+    used = {c.lower() for c in taken}
+    out = {}
+    for name in names:
+        free = f"__{name}"
+        while free.lower() in used:
+            free += "_"
+        used.add(free.lower())
+        out[name] = free
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and hand it to body."""
     return F.transform(F.array(value), body)[0]

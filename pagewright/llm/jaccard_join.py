@@ -10,11 +10,13 @@ which a hash deals the universe of shingles, the sets agree on E + 1 or more. Ea
   which is worth two segments, until the sum is right again; this happens to both sets of any pair that needs it.
 
 Sets that meet in a segment are paired in a star with its least one, first within a task, then over all; every pair is verified on
-the whole sets. What a failed pair leaves open is settled exactly: a bucket whose members lie in more than one component is read by
-one task (large ones by several), which compares parity sketches in blocks. A sketch has a bit for each of some 16 H hash classes,
-the parity of the set's shingles there, so two sets differ in at least as many shingles as their sketches in bits: most pairs are
-ruled out for good. Of the rest only those leave the task that would join two components, nearest first, as a spanning forest; they
-are verified, and the open buckets are read again until none has a pair left. Hot buckets drop the members whose slack allows it.
+the whole sets. What a failed pair leaves open is settled exactly, in one pass. Hot buckets drop the members whose slack allows it.
+Open buckets, those whose members lie in more than one component, make up groups by their least set, the centre. A task reads a
+group (large ones are dealt to several) and compares parity sketches: a sketch has a bit for each of some 16 H hash classes, the
+parity of the set's shingles there, so two sets differ in at least as many shingles as their sketches in bits. Members without a
+possible partner of another component leave. For the others the difference from the centre is computed, once for a group, and the
+group is read again: two members differ in just those shingles in which their differences from the centre differ, so every pair
+of two components is verified exactly without its whole sets, and those that join components are the missing links.
 
 Shingles are compared by 64-bit hashes, sets are named by a 64-bit hash of their shingles.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, free_names, in_arrow, quoted
 from .components import components
 from .words import Words, mix, rolling, slices, split_words
 
@@ -41,10 +43,8 @@ HOT = 32
 #: Members of a star that one task compares with its centre.
 SPOKES = 256
 NODES = "node long, n int, spare_own int, spare_next int, sketch binary"
-#: Sets that a task compares with a bucket's members at once.
+#: Sets that a task compares with a group's members at once.
 PIVOTS = 4096
-#: Partners that each member of an open bucket tries in one round, besides the forest.
-NEAREST = 4
 
 
 @dataclass(frozen=True)
@@ -115,9 +115,9 @@ def least_difference(a: bytes, b: bytes) -> int:
     return (folded ^ int.from_bytes(x, "little")).bit_count()
 
 
-def folded_rows(sketch: list[bytes]) -> np.ndarray:
-    """All sketches as rows of 64-bit words, folded to the shortest."""
-    words = min(len(s) for s in sketch) // 8
+def folded_rows(sketch: list[bytes], width: int) -> np.ndarray:
+    """All sketches as rows of 64-bit words, folded to that many bytes, the fewest of any."""
+    words = width // 8
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0) for s in sketch])
 
 
@@ -209,7 +209,7 @@ def document_sets(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
                 cells = (set_names(tokens, ends), np.diff(ends).astype(np.int32), spare[:, 0].astype(np.int32), spare[:, 1].astype(np.int32), pa.array(sketches(tokens, ends, plan), pa.binary()))
                 yield _batch(["doc_id", "node", "n", "spare_own", "spare_next", "sketch"], part.column("doc_id"), *cells)
 
-    return docs.mapInArrow(emit, f"doc_id long, {NODES}")
+    return docs.transform(in_arrow, emit, f"doc_id long, {NODES}")
 
 
 def star_links(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
@@ -244,8 +244,11 @@ def star_links(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
             if link.any():
                 yield _batch(["bucket", "node", "centre"], b[link], n[link], centre[link])
 
-    sent = docs.select("doc_id", "text").mapInArrow(emit, "bucket long, node long, centre long")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket long, node long, centre long")
+    sent = docs.select("doc_id", "text").transform(in_arrow, emit, "bucket long, node long, centre long")
+    # what is linked in its slice already goes anywhere, so that of a hot bucket one row a slice meets the others
+    place = F.when(F.col("centre").isNull(), F.col("bucket")).otherwise(F.xxhash64("node", "bucket"))
+    sent = sent.withColumn("place", place).repartition("place").drop("place")
+    return sent.sortWithinPartitions("bucket").transform(in_arrow, meet, "bucket long, node long, centre long")
 
 
 def set_carriers(docs: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -268,13 +271,12 @@ def possible(pairs: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
             ok = np.array(least, np.int64) * (100 + plan.percent) <= sums * (100 - plan.percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(emit, "a long, b long")
+    return rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").transform(in_arrow, emit, "a long, b long")
 
 
-def verified(texts: DataFrame, pairs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
-    """(a, b, ok) of the pairs (a, b): the whole sets, made from the texts that hold them, are compared.
-
-    Every b meets its partners in groups of at most about SPOKES, so that a hub is spread over tasks."""
+def grouped_spokes(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(hub, salt, role, node, tokens) for pairs (a, b): the set of every b, once for some SPOKES of its partners, and before them by
+    its role, and the sets of the partners a. A hub is spread over tasks by its salts."""
     pairs = cut(pairs.select("a", "b").distinct())
     hubs = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("salts"))
     spokes = pairs.join(hubs, F.col("b") == F.col("hub")).select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
@@ -289,105 +291,214 @@ def verified(texts: DataFrame, pairs: DataFrame, shingle: int, plan: Plan) -> Da
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield _batch(["set_node", "tokens"], set_names(tokens, ends), lists)
 
-    sets = texts.mapInArrow(emit, "set_node long, tokens array<long>").join(needed, F.col("set_node") == F.col("needed"), "left_semi")
+    sets = texts.transform(in_arrow, emit, "set_node long, tokens array<long>").join(needed, F.col("set_node") == F.col("needed"), "left_semi")
     rows = wanted.join(sets, F.col("node") == F.col("set_node")).select("hub", "salt", "role", "node", "tokens")
+    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+
+
+def with_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """(hub, node, hub's set, node's set) of every partner in the rows of grouped_spokes, a list for each batch."""
+    key, centre = None, None
+    for batch in batches:
+        ends = batch.column("tokens").offsets.to_numpy()
+        flat = batch.column("tokens").values.to_numpy().view(np.uint64)
+        hub, salt, role, node = (batch.column(c).to_numpy() for c in ("hub", "salt", "role", "node"))
+        met = []
+        for i in range(batch.num_rows):
+            tokens = flat[ends[i] : ends[i + 1]]
+            if role[i] == 0:
+                key, centre = (hub[i], salt[i]), tokens.copy()
+            elif key != (hub[i], salt[i]):
+                raise RuntimeError("a set to compare with is missing; were the documents changed meanwhile?")
+            else:
+                met.append((hub[i], node[i], centre, tokens))
+        yield met
+
+
+def found_in(tokens: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Whether each token is in the sorted array."""
+    if not len(there):
+        return np.zeros(len(tokens), bool)
+    return there[np.minimum(np.searchsorted(there, tokens), len(there) - 1)] == tokens
+
+
+def verified(texts: DataFrame, pairs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
+    """(a, b, ok) of the pairs (a, b): the whole sets, made from the texts that hold them, are compared."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, centre = None, None
-        for batch in batches:
-            ends = batch.column("tokens").offsets.to_numpy()
-            flat = batch.column("tokens").values.to_numpy().view(np.uint64)
-            hub, salt, role, node = (batch.column(c).to_numpy() for c in ("hub", "salt", "role", "node"))
-            a, b, ok = [], [], []
-            for i in range(batch.num_rows):
-                tokens = flat[ends[i] : ends[i + 1]]
-                if role[i] == 0:
-                    key, centre = (hub[i], salt[i]), tokens.copy()
-                    continue
-                if key != (hub[i], salt[i]):
-                    raise RuntimeError("a set to compare with is missing; were the documents changed meanwhile?")
-                at = np.minimum(np.searchsorted(centre, tokens), max(len(centre) - 1, 0))
-                common = int((centre[at] == tokens).sum()) if len(centre) else 0
-                a.append(node[i])
-                b.append(hub[i])
+        for met in with_centre(batches):
+            ok = []
+            for _, _, centre, tokens in met:
+                common = int(found_in(tokens, centre).sum())
                 ok.append(100 * common >= plan.percent * (len(centre) + len(tokens) - common))
-            yield _batch(["a", "b", "ok"], np.array(a, np.int64), np.array(b, np.int64), pa.array(ok, pa.bool_()))
-
-    met = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return cut(met.mapInArrow(compare, "a long, b long, ok boolean").distinct())
-
-
-def forest(pivot: np.ndarray, node: list[int], n: np.ndarray, comp: list[int], sketch: list[bytes], failed: list, plan: Plan) -> list[tuple[int, int]]:
-    """Pairs of a bucket that may be similar and join two components: the nearest few of each member, and what a spanning forest needs."""
-    rows, found, out = folded_rows(sketch), [], set()
-    kinds = np.unique(np.array(comp), return_inverse=True)[1]
-    biggest = np.bincount(kinds).argmax()
-    for i in np.flatnonzero(pivot & (kinds != biggest)):
-        apart = np.bitwise_count(rows ^ rows[i]).sum(axis=1).astype(np.int64)
-        near = (kinds != kinds[i]) & (apart * (100 + plan.percent) <= (n + n[i]) * (100 - plan.percent)) & (n * 100 >= n[i] * plan.percent) & (n[i] * 100 >= n * plan.percent)
-        bad = set(failed[i] or ())
-        mine = sorted((int(apart[j]), min(node[i], node[j]), max(node[i], node[j]), int(kinds[i]), int(kinds[j])) for j in np.flatnonzero(near) if node[j] not in bad)
-        found += mine
-        out.update(x[1:3] for x in mine[:NEAREST])
-    root = list(range(int(kinds.max()) + 1))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+            yield _batch(["a", "b", "ok"], np.array([m[1] for m in met], np.int64), np.array([m[0] for m in met], np.int64), pa.array(ok, pa.bool_()))
+
+    return cut(grouped_spokes(texts, pairs, shingle).transform(in_arrow, compare, "a long, b long, ok boolean").distinct())
+
+
+def differences(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(b, a, delta) of the pairs (a, b): the shingles that just one of the two sets has, sorted."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in with_centre(batches):
+            deltas = [np.sort(np.concatenate([tokens[~found_in(tokens, centre)], centre[~found_in(centre, tokens)]])) for _, _, centre, tokens in met]
+            ends = np.cumsum([0, *map(len, deltas)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(deltas) if deltas else np.zeros(0, np.uint64)).view(np.int64)))
+            yield _batch(["b", "a", "delta"], np.array([m[0] for m in met], np.int64), np.array([m[1] for m in met], np.int64), lists)
 
-    for _, a, b, x, y in sorted(found):
-        if top(x) != top(y):
-            root[top(x)] = top(y)
-            out.add((a, b))
-    return sorted(out)
+    return grouped_spokes(texts, pairs, shingle).transform(in_arrow, compare, "b long, a long, delta array<long>").dropDuplicates(["a", "b"])
 
 
-def bucket_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b), a > b: the forests of all buckets; rows: (bucket, members, node, n, comp, sketch, failed)."""
-    salts = F.ceil(F.col("members") / PIVOTS).cast("int")
-    rows = rows.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), (F.pmod(F.xxhash64("node"), salts)).cast("int").alias("own"), "node", "n", "comp", "sketch", "failed")
-    rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
+def dealt(groups: DataFrame, width: str = "0") -> DataFrame:
+    """(centre, salt, other, width) and the rest of groups (centre, node, comp, ...), sorted by the first three.
+
+    Members of a group's largest component need no comparison with each other. The others are its pivots (other is false), dealt
+    by a salt to tasks of about PIVOTS; each of these tasks reads all members, the pivots first. Groups of one component are left out."""
+    sizes = groups.groupBy("centre", "comp").agg(F.count("*").alias("size"), F.min(F.expr(width)).alias("width"))
+    shape = sizes.groupBy(F.col("centre").alias("c")).agg(F.max(F.struct("size", "comp")).alias("most"), F.sum("size").alias("members"), F.min("width").alias("width"))
+    shape = shape.where(F.col("members") > F.col("most.size")).select("c", F.col("most.comp").alias("largest"), "width", F.ceil((F.col("members") - F.col("most.size")) / PIVOTS).cast("int").alias("salts"))
+    rows = groups.join(shape, F.col("centre") == F.col("c")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    own = (F.col("comp") != F.col("largest")) & (F.pmod(F.xxhash64("node"), F.col("salts")) == F.col("salt"))
+    rows = rows.withColumn("other", ~own).drop("c", "largest", "salts")
+    return rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "other", "node")
+
+
+def stretches(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], bool, pa.RecordBatch]]:
+    """((centre, salt), other, rows) of a batch of dealt()."""
+    centre, salt, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("centre", "salt", "other"))
+    new = np.append(True, (centre[1:] != centre[:-1]) | (salt[1:] != salt[:-1]) | (other[1:] != other[:-1])) if len(centre) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(centre)], strict=True):
+        yield (int(centre[a]), int(salt[a])), bool(other[a]), batch.slice(a, b - a)
+
+
+def undecided(groups: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
+    """(centre, node) of the members that sizes and sketches allow a partner of another component in their group."""
+    rows = dealt(groups.join(facts.select(F.col("node").alias("f"), "n", "sketch"), F.col("node") == F.col("f")).drop("f"), "length(sketch)")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        key, pivots = None, []
+        for batch in batches:
+            nodes, centres = [], []
+            for at, other, part in stretches(batch):
+                if at != key:
+                    key, pivots = at, []
+                bits = folded_rows(part.column("sketch").to_pylist(), part.column("width")[0].as_py())
+                node, comp, n = (part.column(c).to_numpy() for c in ("node", "comp", "n"))
+                n = n.astype(np.int64)
+                if not other:
+                    pivots.append((bits, node, comp, n))
+                hit = np.zeros(len(node), bool)
+                for p_bits, p_node, p_comp, p_n in pivots:
+                    for i in range(len(p_node)):
+                        room = (n + p_n[i]) * (100 - plan.percent) - np.bitwise_count(bits ^ p_bits[i]).sum(axis=1).astype(np.int64) * (100 + plan.percent)
+                        near = (room >= 0) & (comp != p_comp[i]) & (n * 100 >= p_n[i] * plan.percent) & (p_n[i] * 100 >= n * plan.percent)
+                        if near.any():
+                            hit |= near
+                            nodes.append(p_node[i : i + 1])
+                nodes.append(node[hit])
+                centres.append((at[0], sum(map(len, nodes))))
+            total = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+            ends = np.array([0, *(e for _, e in centres)])
+            yield _batch(["centre", "node"], np.repeat(np.array([c for c, _ in centres], np.int64), np.diff(ends)), total.astype(np.int64))
+
+    return rows.select("centre", "salt", "other", "width", "node", "comp", "n", "sketch").transform(in_arrow, emit, "centre long, node long").distinct()
+
+
+class Pivots:
+    """A task's pivots of one group: their differences from the centre, by shingle."""
+
+    def __init__(self):
+        self.node, self.comp, self.n, self.sizes, self.tokens = [], [], [], [], []
+        self.root: dict[int, int] = {}
+
+    def add(self, node: np.ndarray, comp: np.ndarray, n: np.ndarray, deltas: list[np.ndarray]) -> None:
+        for own, new in ((self.node, node), (self.comp, comp), (self.n, n), (self.sizes, [len(d) for d in deltas]), (self.tokens, deltas)):
+            own.extend(new)
+
+    def close(self) -> None:
+        flat = np.concatenate(self.tokens)
+        owner = np.repeat(np.arange(len(self.node)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.token, starts = np.unique(flat[order], return_index=True)
+        self.ends, self.owner = np.append(starts, len(flat)), owner[order]
+        self.sizes, self.n = np.array(self.sizes, np.int64), np.array(self.n, np.int64)
+        self.tokens = []
+
+    def top(self, x: int) -> int:
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def links(self, node: int, comp: int, n: int, delta: np.ndarray, plan: Plan) -> Iterator[tuple[int, int]]:
+        """The pivots that are similar enough and of a component that nothing has joined yet."""
+        at = np.flatnonzero(found_in(delta, self.token))
+        at = np.searchsorted(self.token, delta[at])
+        shared = np.bincount(np.concatenate([self.owner[self.ends[i] : self.ends[i + 1]] for i in at.tolist()]), minlength=len(self.sizes)) if len(at) else 0
+        apart, sums = self.sizes + len(delta) - 2 * shared, self.n + n
+        for i in np.flatnonzero(sums * (100 - plan.percent) >= apart * (100 + plan.percent)).tolist():
+            x, y = self.top(int(self.comp[i])), self.top(comp)
+            if x != y:
+                self.root[x] = y
+                yield int(self.node[i]), node
+
 
-        def close() -> list[tuple[int, int]]:
-            if len(group) < 2:
-                return []
-            own, node, n, comp, sketch, failed = zip(*group, strict=True)
-            return forest(np.array(own) == key[1], list(node), np.array(n, np.int64), list(comp), list(sketch), list(failed), plan)
+def settled(groups: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v): similar sets that join the components of each group; groups: (centre, node, comp, n, delta), delta the difference
+    from the centre. The differences of two members are those of their deltas, so whole sets are not needed here."""
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivots, is_open = None, None, False
+        early: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]] = []
         for batch in batches:
             out = []
-            for bucket, salt, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, salt) != key:
-                    out += close()
-                    key, group = (bucket, salt), []
-                group.append(cells)
-            yield _batch(["a", "b"], np.array([b for _, b in out], np.int64), np.array([a for a, _ in out], np.int64))
-        out = close()
-        yield _batch(["a", "b"], np.array([b for _, b in out], np.int64), np.array([a for a, _ in out], np.int64))
+            for at, other, part in stretches(batch):
+                if at != key:
+                    if is_open:
+                        out += among(pivots, early)
+                    key, pivots, early, is_open = at, Pivots(), [], True
+                node, comp, n = (part.column(c).to_numpy().astype(np.int64) for c in ("node", "comp", "n"))
+                lists = part.column("delta")
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+                deltas = [flat[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                if not other:
+                    pivots.add(node, comp, n, deltas)
+                    early.append((node, comp, n, deltas))
+                    continue
+                if is_open:
+                    out += among(pivots, early)
+                    early, is_open = [], False
+                if pivots.node:
+                    for x in zip(node.tolist(), comp.tolist(), n.tolist(), deltas, strict=True):
+                        out += pivots.links(*x, plan)
+            yield _batch(["u", "v"], np.array([u for u, _ in out], np.int64), np.array([v for _, v in out], np.int64))
+        out = among(pivots, early) if is_open else []
+        yield _batch(["u", "v"], np.array([u for u, _ in out], np.int64), np.array([v for _, v in out], np.int64))
+
+    def among(pivots: Pivots, early: list) -> list[tuple[int, int]]:
+        pivots.close()
+        return [pair for rows in early for x in zip(*(c.tolist() for c in rows[:3]), rows[3], strict=True) for pair in pivots.links(*x, plan)]
 
-    return rows.mapInArrow(emit, "a long, b long").distinct()
+    return dealt(groups).select("centre", "salt", "other", "node", "comp", "n", "delta").transform(in_arrow, emit, "u long, v long").distinct()
 
 
-def set_components(docs: DataFrame, nodes: DataFrame, shingle: int, plan: Plan, hot: int = HOT) -> DataFrame:
+def set_components(docs: DataFrame, nodes: DataFrame, shingle: int, plan: Plan, hot: int | None = None) -> DataFrame:
     """(node, component) of the sets that are linked with any; nodes: the rows of document_sets."""
+    hot = hot or HOT
     known = nodes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     facts = known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "spare_own", "spare_next")])
     links = cut(star_links(docs, shingle, plan))
     texts = cut(set_carriers(docs, links, known))
     told = links.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     tried = verified(texts, possible(told, facts.select("node", "n", "sketch"), plan), shingle, plan)
-    member = cut(components(tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    stars = tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    member = cut(components(stars))
 
-    linked = tried.where("ok").select(F.col("a").alias("la"), F.col("b").alias("lb"))
+    linked = stars.select(F.col("u").alias("la"), F.col("v").alias("lb"))
     broken = links.join(linked, (F.col("node") == F.col("la")) & (F.col("centre") == F.col("lb")), "left_anti").select(F.col("bucket").alias("open")).distinct()
     rows = links.join(broken, F.col("bucket") == F.col("open"), "left_semi")
-    rows = rows.select("bucket", "node").unionAll(rows.select("bucket", F.col("centre").alias("node"))).distinct()
-    rows = open_rows(rows, member)
+    rows = open_rows(rows.select("bucket", "node").unionAll(rows.select("bucket", F.col("centre").alias("node"))).distinct(), member)
     # a set may miss as many hot buckets as it has slack; it stays in all of them if they are more
     starts = F.array(*[F.lit(int(s)) for s in plan.starts])
     own_band = F.size(F.filter(starts, lambda s: s <= F.col("n"))) - 1
@@ -395,32 +506,26 @@ def set_components(docs: DataFrame, nodes: DataFrame, shingle: int, plan: Plan,
     rows = rows.join(facts.drop("sketch"), "node").withColumn("band", F.col("bucket").bitwiseAND(F.lit(255))).withColumn("spare", spare)
     hots = rows.where(F.col("members") > hot).groupBy(F.col("node").alias("h"), F.col("band").alias("hb")).agg(F.count("*").alias("hots"))
     rows = rows.join(hots, (F.col("node") == F.col("h")) & (F.col("band") == F.col("hb")), "left")
-    rows = cut(rows.where((F.col("members") <= hot) | (F.col("hots") > F.col("spare"))).select("bucket", "node"))
-    while True:
-        now = open_rows(rows, member)
-        # buckets of the same members have the same pairs; one stands for all
-        same = now.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("who"), F.count("*").alias("size"))
-        one = same.groupBy("who", "size").agg(F.min("bucket").alias("b"))
-        now = cut(now.drop("members").join(one.select("b", F.col("size").alias("members")), F.col("bucket") == F.col("b")).drop("b"))
-        if now.isEmpty():
-            return member
-        bad = tried.where("not ok")
-        bad = bad.select(F.col("a").alias("f"), F.col("b").alias("other")).unionAll(bad.select(F.col("b").alias("f"), F.col("a").alias("other"))).groupBy("f").agg(F.collect_set("other").alias("failed"))
-        full = now.join(facts.select("node", "n", "sketch"), "node").join(bad, F.col("node") == F.col("f"), "left")
-        more = verified(texts, bucket_pairs(full.select("bucket", "members", "node", "n", "comp", "sketch", "failed"), plan), shingle, plan)
-        if more.isEmpty():
-            return member
-        tried = cut(tried.unionAll(more))
-        extra = more.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if not extra.isEmpty():
-            member = cut(components(member.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(extra)))
-        rows = now.select("bucket", "node")
+    rows = rows.where((F.col("members") <= hot) | (F.col("hots") > F.col("spare"))).select("bucket", "node")
+    # buckets with the same least set are one group: every pair of a bucket is a pair of its group
+    groups = cut(open_rows(rows, member).select("centre", "node", "comp").distinct())
+    some = cut(undecided(groups, facts, plan))
+    if some.isEmpty():
+        return member
+    apart = differences(texts, some.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), shingle)
+    apart = apart.select("b", "a", "delta").unionAll(some.where("node = centre").select("centre", "node", F.array().cast("array<long>")))
+    held = apart.join(groups, (F.col("b") == F.col("centre")) & (F.col("a") == F.col("node"))).select("centre", "node", "comp", "delta")
+    held = held.join(facts.select(F.col("node").alias("f"), "n"), F.col("node") == F.col("f")).drop("f")
+    extra = cut(settled(cut(held), plan))
+    if extra.isEmpty():
+        return member
+    return cut(components(member.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(extra)))
 
 
 def open_rows(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """(bucket, node, comp, members) of the buckets whose members lie in more than one component; rows: (bucket, node)."""
+    """(bucket, node, comp, members, centre) of the buckets whose members lie in more than one component; rows: (bucket, node)."""
     now = rows.join(member.select(F.col("node").alias("m"), "component"), F.col("node") == F.col("m"), "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-    open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select(F.col("bucket").alias("b"), "members")
+    open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min("node").alias("centre")).where("lo <> hi").select(F.col("bucket").alias("b"), "members", "centre")
     return now.join(open_, F.col("bucket") == F.col("b")).drop("b")
 
 
@@ -446,31 +551,36 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "node", "class")
 
 
-def with_node(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs and __node, the set of the row's text, null for an empty one."""
+def with_node(docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """docs and, under that name, the set of the row's text, null for an empty one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 tokens, ends = shingle_sets(split_words(part.column("text"), lower=True), shingle)
                 node = pa.array(set_names(tokens, ends), pa.int64(), mask=np.diff(ends) == 0)
-                yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "__node"])
+                yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(emit, docs.select("*", F.lit(None).cast("long").alias("__node")).schema)
+    return docs.transform(in_arrow, emit, docs.select("*", F.lit(None).cast("long").alias(name)).schema)
 
 
 def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each component does: the one with the least doc_id.
 
     Rows with a null doc_id cannot be told apart and all stay. Where ids repeat each row goes by its own text: of rows that
-    share a doc_id and a component one stays, and of those with no words one for each text."""
+    share a doc_id and a component one stays, and of those with no words one for each text. Columns may have any names."""
+    own = quoted(columns)
+    new = free_names(columns, "gone", "id", "set", "class", "own_set", "turn")
     found = cut(classes(docs, shingle, percent))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-        return docs.select(*columns).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    held = found.where("node is not null").select(F.col("doc_id").alias("__id"), F.col("node").alias("__set"), F.col("class").alias("__class"), (F.col("component_id") < F.col("doc_id")).alias("__gone")).distinct()
-    rows = with_node(docs.select(*columns), shingle).join(held, (F.col("doc_id") == F.col("__id")) & (F.col("__node") == F.col("__set")), "left")
-    wordless = F.when(F.col("__class").isNull(), F.col("text"))
-    order = Window.partitionBy("doc_id", "__class", wordless).orderBy(F.xxhash64("text"), *[F.xxhash64(c) for c in columns])
-    kept = rows.where(~F.coalesce("__gone", F.lit(False))).withColumn("__turn", F.row_number().over(order))
-    return kept.where("__turn = 1 or doc_id is null").select(*columns)
+        gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(new["gone"])).distinct()
+        return docs.select(*own).join(gone, F.col("doc_id") == F.col(new["gone"]), "left_anti")
+    held = found.where("node is not null").select(
+        F.col("doc_id").alias(new["id"]), F.col("node").alias(new["set"]), F.col("class").alias(new["class"]), (F.col("component_id") < F.col("doc_id")).alias(new["gone"])
+    )
+    rows = with_node(docs.select(*own), shingle, new["own_set"])
+    rows = rows.join(held.distinct(), (F.col("doc_id") == F.col(new["id"])) & (F.col(new["own_set"]) == F.col(new["set"])), "left")
+    wordless = F.when(F.col(new["class"]).isNull(), F.col("text"))
+    order = Window.partitionBy("doc_id", new["class"], wordless).orderBy(F.xxhash64("text"), *[F.xxhash64(c) for c in own])
+    kept = rows.where(~F.coalesce(new["gone"], F.lit(False))).withColumn(new["turn"], F.row_number().over(order))
+    return kept.where((F.col(new["turn"]) == 1) | F.col("doc_id").isNull()).select(*own)

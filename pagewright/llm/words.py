@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,19 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts are taken in slices of about this many bytes, which bounds a worker's memory; one longer text is a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one stage has freed must not stay with the next."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 @dataclass
@@ -44,6 +57,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         total += int(n)
     if at < batch.num_rows:
         yield batch.slice(at)
+    give_back()
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
