@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it is removed when this process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def laid_down(df: DataFrame) -> DataFrame:
+    """As cut, but as a Parquet table: smaller where rows are many and short."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and broadcasts of plans that are done with: it does so when the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_arrow(df: DataFrame, emit, schema) -> DataFrame:
     """df.mapInArrow(emit, schema) with batches bounded by bytes, unless the session has a bound of its own: whole texts vary by
     orders of magnitude, and a batch stands in the memory of the JVM and of its worker at once."""

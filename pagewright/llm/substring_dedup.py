@@ -1,20 +1,22 @@
-"""Substring dedup over prefix-partitioned suffixes.
+"""Substring dedup by prefix-partitioned suffix trees.
 
-A suffix of the corpus begins at every word. Two suffixes that agree on their first `window` words meet below the same internal
-node, of that depth or more, of the corpus's suffix tree, and the suffixes below such nodes are what repeats; starts that follow
-one another make up a maximal repeat. The suffixes are dealt to groups by an anchor: the least hash among the `prefix`-word
-prefixes that begin inside the window. Equal windows have equal anchors, so each group holds whole subtrees, and since an anchor
-serves a run of consecutive suffixes one row carries them all: the anchor, the place, and a label of each suffix's first `window`
-words. A group's labels are sorted; labels that are met twice are its deep nodes.
+A suffix of the corpus begins at every word. Suffixes that agree on their first `window` words lie below one internal node, of that
+depth or more, of the corpus's suffix tree; these deep nodes are what repeats, and starts that follow one another make up a maximal
+repeat. The tree is built in parts. A part holds the suffixes whose window has the same anchor: the least hash among the prefixes of
+8 words that begin inside it. Equal windows have equal anchors, so no deep node is split, and an anchor serves a run of consecutive
+suffixes, whose words are sent once for the run.
 
-Repeats inside a task's slice of documents are settled before the shuffle and each label leaves the slice once, so a passage that
-a third of all rows share arrives once a slice. A group is read as a stream that keeps its distinct labels only. What returns to
-the documents is word intervals.
+Prefixes have the length that it takes. The words of all runs of an anchor are counted; anchors met once hold no repeat and are
+dropped; those whose parts fit a task's memory are done; the windows of the others are dealt anew by the longer prefix of 16 words,
+and what is still too much (a long passage of very many documents) by all words of the window, where a part is a single node and
+its count alone decides. A part's subtree is built level by level: its suffixes are dealt to the nodes of a depth by the nodes that
+their pieces have at the depth before, comparing words exactly, until the depth of the window. Nodes there with two suffixes or more
+are the deep internal ones. What returns to the documents is word intervals.
 
-Words, prefixes and labels are compared by hashes: 64 bits for anchors, 48 more for labels, which are compared within an anchor only.
+Anchors, and whole windows of the last length, are compared by 64-bit hashes, words within a part by 48-bit hashes of each word.
 
 Defined cases: null and empty texts have no words, no repeats and the digest of the empty string; texts shorter than the window
-lose nothing; repeated rows repeat each other; an empty table gives an empty result; other columns are not read.
+lose nothing; repeated rows repeat each other; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, mix, slices, split_words
+from .common import in_arrow, laid_down
+from .words import Words, give_back, mix, slices, split_words
 
 WINDOW = 35
-PREFIX = 8
-#: Bytes of a label.
-LABEL = 6
+#: Lengths of an anchor, in words; at last the whole window.
+PREFIXES = (8, 16)
+#: Words of a part that a task builds a subtree of.
+PART_WORDS = 1 << 18
+#: Bytes of a word's hash within a part.
+WORD_BYTES = 6
 
 
 def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
@@ -57,58 +63,72 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - done)], x[n - done :]) if n > done else x
 
 
-def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(met twice or more, first of its kind) for each key."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    same = k[1:] == k[:-1]
-    twice, first = np.zeros(len(k), bool), np.ones(len(k), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    first[order[1:][same]] = False
-    return twice, first
-
-
 def stretches(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, stop) of the runs that begin where breaks is set; the first item always begins one."""
     starts = np.flatnonzero(breaks)
     return starts, np.append(starts[1:], len(breaks))
 
 
-def suffix_rows(words: Words, keys: np.ndarray, window: int, prefix: int) -> pa.RecordBatch:
-    """(anchor, doc, start, stop, labels): suffixes for other tasks to compare (stop null), and intervals known to repeat (labels null)."""
-    values = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
-    labels = window_hashes(values, window)
-    owner = words.owner()
-    inside = owner[: len(labels)] == owner[window - 1 :] if len(labels) else np.zeros(0, bool)
-    anchors = sliding_least(window_hashes(values, prefix), window - prefix + 1) if len(labels) else np.zeros(0, np.uint64)
-    at = np.flatnonzero(inside)
-    labels, anchors, doc = labels[at], anchors[at], owner[at]
-    place = at - words.offsets[:-1][doc]
-    twice, first = repeated(labels)
-    out = at[first]
-    if len(out):
-        a, d = anchors[first], doc[first]
-        starts, stops = stretches(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (out[1:] != out[:-1] + 1)]))
-        packed = labels[first].view(np.uint8).reshape(-1, 8)[:, :LABEL]
-        rows = [a[starts].view(np.int64), keys[d[starts]], place[first][starts].astype(np.int32)]
-        offsets = np.append(starts, stops[-1]).astype(np.int64) * LABEL
-    else:
-        rows, packed, offsets = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], np.zeros((0, LABEL), np.uint8), np.zeros(1, np.int64)
-    n = len(rows[0])
-    binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(packed).tobytes())])
-    know = intervals(keys[doc[twice]], place[twice], window)
-    m = len(know[0])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.concat_arrays([pa.array(rows[0]), pa.array(know[0])]),
-            pa.concat_arrays([pa.array(rows[1]), pa.array(know[0])]),
-            pa.concat_arrays([pa.array(rows[2]), pa.array(know[1])]),
-            pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(know[2])]),
-            pa.concat_arrays([binary, pa.nulls(m, pa.binary())]),
-        ],
-        names=["anchor", "doc", "start", "stop", "labels"],
-    )
+def anchors_of(values: np.ndarray, window: int, prefix: int) -> np.ndarray:
+    """The anchor of the window at each word; the last ones of a text are the caller's matter."""
+    return sliding_least(window_hashes(values, prefix), window - prefix + 1) if len(values) >= window else np.zeros(0, np.uint64)
+
+
+def anchor_runs(words: Words, values: np.ndarray, window: int, prefix: int, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, text, first word, windows, times) of the runs of windows with one anchor; times is 2 if its prefix stands in the run
+    twice or more. inside flags the windows that count, all of them by default."""
+    anchors, owner = anchors_of(values, window, prefix), words.owner()
+    n = len(anchors)
+    ok = owner[:n] == owner[window - 1 :] if n else np.zeros(0, bool)
+    at = np.flatnonzero(ok if inside is None else ok & inside[:n])
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none, none
+    a, d = anchors[at], owner[at]
+    starts, stops = stretches(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)]))
+    # a prefix is an anchor if the largest anchor of all windows over it is its own hash
+    reach = window - prefix + 1
+    hashes = window_hashes(values, prefix)
+    rim = np.zeros(reach - 1, np.uint64)
+    most = ~sliding_least(~np.concatenate([rim, anchors, rim]), reach)[: len(hashes)]
+    place = np.flatnonzero(most == hashes)
+    near = (hashes[place][1:] == hashes[place][:-1]) & (place[1:] - place[:-1] <= reach)
+    again = np.concatenate([[0], np.cumsum(near)])
+    first, last = np.searchsorted(place, at[starts]), np.searchsorted(place, at[stops - 1] + reach)
+    times = np.where(again[np.maximum(last - 1, 0)] - again[np.minimum(first, len(again) - 1)] > 0, 2, 1)
+    return a[starts], d[starts], at[starts] - words.offsets[d[starts]], stops - starts, times
+
+
+def flags(spans: list[tuple[int, int]], size: int) -> np.ndarray:
+    """True for the positions inside (begin, end) of any span of absolute positions."""
+    edge = np.zeros(size + 1, np.int64)
+    for begin, end in spans:
+        edge[begin] += 1
+        edge[end] -= 1
+    return np.cumsum(edge)[:size] > 0
+
+
+def deep_nodes(codes: np.ndarray, starts: np.ndarray, parts: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each suffix lies below a node of that depth, or more, with another one of its part.
+
+    codes: words; starts: where the suffixes begin, each followed by `depth` words; parts: the part of each. A level's nodes are
+    numbered in the order of their words; as many pieces as fit one number are put together for the next level."""
+    level, rank = 1, np.unique(codes, return_inverse=True)[1].astype(np.uint64)
+    while level < depth:
+        bits = max(1, int(rank.max()).bit_length())
+        pieces = min(max(2, 63 // bits), -(-depth // level))
+        offsets = [min(k * level, depth - level) for k in range(pieces)] if pieces * level >= depth else [k * level for k in range(pieces)]
+        grown = offsets[-1] + level
+        n = len(codes) - grown + 1
+        joined = rank[:n].copy()
+        for k, at in enumerate(offsets[1:], 1):
+            if bits * (k + 1) > 63:
+                raise ValueError("too many words in a part")
+            joined = (joined << np.uint64(bits)) | rank[at : at + n]
+        rank, level = np.unique(joined, return_inverse=True)[1].astype(np.uint64), grown
+    node = (parts.astype(np.uint64) << np.uint64(max(1, int(rank.max()).bit_length()))) | rank[starts]
+    _, own, size = np.unique(node, return_inverse=True, return_counts=True)
+    return size[own] > 1
 
 
 def intervals(doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,55 +141,126 @@ def intervals(doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarr
     return d[starts].astype(np.int64), p[starts].astype(np.int32), (p[stops - 1] + window).astype(np.int32)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(doc, start, stop): intervals of words, covering all that repeats; docs: (doc long, text)."""
-    rows = "anchor long, doc long, start int, stop int, labels binary"
+RUNS = "anchor long, doc long, start int, size int, times int"
+SPANS = "array<struct<start:int,size:int,prefix:int>>"
+
+
+def _spans(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, size, prefix) of all spans of a batch."""
+    lists = part.column("spans")
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    cells = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+    return (np.repeat(np.arange(part.num_rows), np.diff(ends)), *(cells.field(c).to_numpy().astype(np.int64) for c in ("start", "size", "prefix")))
+
+
+def runs_of(docs: DataFrame, window: int, prefix: int) -> DataFrame:
+    """(anchor, doc, start, size, times) of the runs of docs: (doc, text), and spans if only their windows count."""
+    limited = "spans" in docs.columns
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words, keys, inside = split_words(part.column("text")), part.column("doc").to_numpy(), None
+                values = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+                if limited:
+                    row, start, size, _ = _spans(part)
+                    begin = words.offsets[:-1][row] + start
+                    inside = flags(list(zip(begin.tolist(), (begin + size).tolist(), strict=True)), len(values))
+                anchor, text, start, size, times = anchor_runs(words, values, window, prefix, inside)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(keys[text]), *(pa.array(x.astype(np.int32)) for x in (start, size, times))], names=["anchor", "doc", "start", "size", "times"])
+
+    return docs.transform(in_arrow, emit, RUNS)
+
+
+def parts_of(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, doc, start, words) of the spans of docs: (doc, text, spans); words holds those of all windows of a span."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield suffix_rows(split_words(part.column("text")), part.column("doc").to_numpy(), window, prefix)
+                words, keys = split_words(part.column("text")), part.column("doc").to_numpy()
+                values = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+                row, start, size, prefix = _spans(part)
+                begin, length = words.offsets[:-1][row] + start, size + window - 1
+                anchor = np.zeros(len(row), np.uint64)
+                for n in np.unique(prefix).tolist():
+                    some = prefix == n
+                    anchor[some] = anchors_of(values, window, n)[begin[some]]
+                ends = np.concatenate([[0], np.cumsum(length)])
+                place = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(begin, length)
+                cells = np.ascontiguousarray(values[place].view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
+                sent = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((ends * WORD_BYTES).astype(np.int32).tobytes()), pa.py_buffer(cells.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(keys[row]), pa.array(start.astype(np.int32)), sent], names=["anchor", "doc", "start", "words"])
+
+    return docs.transform(in_arrow, emit, "anchor long, doc long, start int, words binary")
+
+
+def subtrees(parts: DataFrame, window: int) -> DataFrame:
+    """(doc, start, stop): the intervals below deep nodes of every part; parts: (anchor, doc, start, words)."""
+
+    def built(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        if not table.num_rows:
+            return
+        anchor, doc, start = (table.column(c).to_numpy() for c in ("anchor", "doc", "start"))
+        column = table.column("words").chunk(0)
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        cells = np.zeros(((ends[-1] - ends[0]) // WORD_BYTES, 8), np.uint8)
+        cells[:, :WORD_BYTES] = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, WORD_BYTES)
+        ends = (ends - ends[0]) // WORD_BYTES
+        windows = np.diff(ends) - window + 1
+        row = np.repeat(np.arange(len(windows)), windows)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        part = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
+        deep = deep_nodes(cells.reshape(-1).view(np.uint64), ends[row] + turn, part[row], window)
+        d, a, b = intervals(doc[row[deep]], start[row[deep]].astype(np.int64) + turn[deep], window)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], names=["doc", "start", "stop"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the open group's distinct labels: key, document, place, already told
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        open_anchor = None
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows: list[pa.RecordBatch] = []
         for batch in batches:
-            known = batch.filter(batch.column("stop").is_valid())
-            if known.num_rows:
-                yield known.select(["doc", "start", "stop"])
-            batch = batch.filter(batch.column("stop").is_null())
             if not batch.num_rows:
                 continue
-            column = batch.column("labels")
-            _, offsets, data = column.buffers()
-            ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, LABEL)
-            label = np.zeros((len(raw), 8), np.uint8)
-            label[:, :LABEL] = raw
-            counts = np.diff(ends) // LABEL
-            anchor = batch.column("anchor").to_numpy().view(np.uint64)
-            with np.errstate(over="ignore"):
-                key = mix(np.repeat(mix(anchor), counts) + label.reshape(-1).view(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-            turn = np.arange(len(raw)) - np.repeat(ends[:-1] // LABEL - ends[0] // LABEL, counts)
-            doc = np.repeat(batch.column("doc").to_numpy(), counts)
-            place = np.repeat(batch.column("start").to_numpy().astype(np.int64), counts) + turn
-            if open_anchor != anchor[0]:
-                held = tuple(x[:0] for x in held)
-            n = len(held[0])
-            key, doc, place = (np.concatenate([h, x]) for h, x in zip(held[:3], (key, doc, place), strict=True))
-            told = np.concatenate([held[3], np.zeros(len(key) - n, bool)])
-            twice, first = repeated(key)
-            new = twice & ~told
-            d, a, b = intervals(doc[new], place[new], window)
-            if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], names=["doc", "start", "stop"])
-            open_anchor = anchor[-1]
-            last = np.concatenate([np.full(n, anchor[0] == open_anchor), np.repeat(anchor == open_anchor, counts)]) & first
-            held = (key[last], doc[last], place[last], (told | twice)[last])
-
-    sent = docs.select("doc", "text").mapInArrow(emit, rows)
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "doc long, start int, stop int")
+            anchor = batch.column("anchor").to_numpy()
+            last = int(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))[-1])
+            if last or (open_rows and open_rows[-1].column("anchor")[-1].as_py() != anchor[0]):
+                yield from built([*open_rows, batch.slice(0, last)])
+                open_rows = [batch.slice(last)]
+            else:
+                open_rows.append(batch)
+        if open_rows:
+            yield from built(open_rows)
+        give_back()
+
+    return parts.repartition("anchor").sortWithinPartitions("anchor").transform(in_arrow, emit, "doc long, start int, stop int")
+
+
+def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that have spans, and these; found: (doc, start, size, prefix)."""
+    spans = found.groupBy(F.col("doc").alias("found_doc")).agg(F.collect_set(F.struct("start", "size", "prefix")).alias("spans"))
+    return docs.join(spans, F.col("doc") == F.col("found_doc")).drop("found_doc")
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] = PREFIXES, part_words: int = PART_WORDS) -> DataFrame:
+    """(doc, start, stop): intervals of words, covering all that repeats; docs: (doc long, text), and what else they hold."""
+    todo, fitting, told = docs, None, None
+    for prefix in (*(p for p in prefixes if p < window), window):
+        runs = runs_of(todo.select("doc", "text", *[c for c in todo.columns if c == "spans"]), window, prefix)
+        parts = runs.groupBy(F.col("anchor").alias("part")).agg(F.sum("times").alias("times"), F.sum(F.col("size") + window - 1).alias("words")).where("times > 1")
+        found = runs.join(parts, F.col("anchor") == F.col("part")).select("doc", "start", "size", F.lit(prefix).alias("prefix"), (F.col("words") > part_words).alias("large"))
+        if prefix == window:  # every part is one node
+            told = found.select("doc", "start", (F.col("start") + F.col("size") + window - 1).alias("stop"))
+            break
+        found = laid_down(found)
+        fits = found.where("not large").drop("large")
+        fitting = fits if fitting is None else fitting.unionAll(fits)
+        large = found.where("large")
+        if large.isEmpty():
+            break
+        todo = with_spans(docs, large)
+    out = subtrees(parts_of(with_spans(docs, fitting), window), window) if fitting is not None else None
+    return out if told is None else told if out is None else out.unionAll(told)
 
 
 def kept_mask(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -181,12 +272,12 @@ def kept_mask(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(edge)[:n] == 0
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and the kept words if with_text."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, **how) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, and the kept words if with_text; `how` goes to repeats()."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.xxhash64("doc_id", "text"))
-    spans = repeats(rows, window, prefix).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("doc", "span_doc")
-    joined = rows.join(spans, F.col("doc") == F.col("span_doc"), "left").select("doc_id", "text", "spans")
+    spans = repeats(rows, window, **how).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("doc", "span_doc")
+    joined = rows.join(spans, F.col("doc") == F.col("span_doc"), "left").drop("span_doc")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     schema = schema.add("kept_text", "string") if with_text else schema
 
@@ -206,4 +297,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                 columns = [part.column("doc_id"), pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int64()), pa.array(cells[2], pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())] if with_text else columns, names=schema.names)
 
-    return joined.mapInArrow(emit, schema)
+    return joined.transform(in_arrow, emit, schema)

@@ -8,9 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import decontamination, jaccard_join, mixing, quality_model, substring_dedup, toxicity, warc
+from pagewright.llm.words import split_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = [f"w{i}" for i in range(300)]
@@ -103,18 +105,48 @@ def brute_dedup(rows, n=35):
     return sorted(out, key=repr)
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("part_words", [1 << 18, 150, 0])
+def test_substring_dedup(spark, part_words):
     rng = random.Random(4)
     shared = prose(rng, 60)
     texts = [" ".join(prose(rng, rng.randrange(40)) + shared[rng.randrange(20) :] + prose(rng, 30)) for _ in range(20)]
     texts += ["a " * 200, "a b " * 40, " ".join(shared[:34]), " ".join(prose(rng, 35)), "", None, "\x0bx  y\n", "same " + " ".join(prose(rng, 50))]
     rows = [*enumerate(texts), (50, texts[-1]), (50, texts[-1]), (None, texts[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(docs).collect()), key=repr)
+    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(docs, part_words=part_words).collect()), key=repr)
     assert got == brute_dedup(rows)
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_a_phrase_of_every_row_makes_no_large_part(spark):
+    rng = random.Random(21)
+
+    def anchor(phrase):
+        words = split_words(pa.array([" ".join(phrase)]))
+        return substring_dedup.window_hashes(words.hashes()[words.codes], 8)[0]
+
+    phrase = min((prose(rng, 8) for _ in range(3000)), key=anchor)
+    rows = [(i, " ".join(prose(rng, 60) + phrase + prose(rng, 60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    runs = substring_dedup.runs_of(docs, 35, 8)
+    biggest = lambda r: r.groupBy("anchor").agg({"times": "sum"}).agg({"sum(times)": "max"}).first()[0]
+    assert biggest(runs) >= 250  # the phrase is an anchor of nearly all,
+    found = runs.groupBy("anchor").count().where("count >= 250").join(runs, "anchor").selectExpr("doc", "start", "size", "8 as prefix")
+    assert biggest(substring_dedup.runs_of(substring_dedup.with_spans(docs, found), 35, 16)) < 10  # and at 16 words of nearly none
+    assert substring_dedup.repeats(docs, part_words=500).count() == 0
+
+
+def test_deep_nodes_by_brute_force():
+    rng = np.random.default_rng(4)
+    for depth in (2, 3, 7, 35):
+        codes = np.concatenate([rng.integers(0, 3, 200), np.zeros(60, np.int64), rng.integers(0, 1 << 60, 80)]).astype(np.uint64)
+        starts = np.arange(len(codes) - depth + 1)
+        parts = (starts >= 250).astype(np.int64)
+        seen = Counter((int(p), tuple(codes[s : s + depth])) for s, p in zip(starts, parts, strict=True))
+        want = [seen[int(p), tuple(codes[s : s + depth])] > 1 for s, p in zip(starts, parts, strict=True)]
+        assert substring_dedup.deep_nodes(codes, starts, parts, depth).tolist() == want
+
+
 def test_period_stays_within_a_block():
     for slots in ({0: 500, 1: 300, 2: 199, 3: 1}, {0: 997, 1: 1, 2: 1, 3: 1}, {i: 20 for i in range(50)}):
         order, size, seen = mixing.period(slots), sum(slots.values()), Counter()
