@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -147,21 +149,72 @@ def test_deep_nodes_by_brute_force():
         assert substring_dedup.deep_nodes(codes, starts, parts, depth).tolist() == want
 
 
-def test_period_stays_within_a_block():
-    for slots in ({0: 500, 1: 300, 2: 199, 3: 1}, {0: 997, 1: 1, 2: 1, 3: 1}, {i: 20 for i in range(50)}):
-        order, size, seen = mixing.period(slots), sum(slots.values()), Counter()
-        for t, s in enumerate(order, 1):
-            seen[s] += 1
-            assert all(abs(seen[x] - n * t / size) < 1 for x, n in slots.items())
+def brute_edf(share, slots):
+    """Earliest deadline first among released blocks, looked for anew in every slot."""
+    rate = {s: Fraction(n, sum(share.values())) for s, n in share.items()}
+    given, out = Counter(), []
+    for t in range(slots):
+        ready = [(math.ceil((given[s] + 1) / w), -w, s) for s, w in rate.items() if math.floor(given[s] / w) <= t]
+        out.append(min(ready)[2])
+        given[out[-1]] += 1
+    return out
+
+
+def farthest(weights, order):
+    """Most blocks that any source is off its target after any slot."""
+    total, most, t = sum(map(Fraction, weights.values())), 0.0, np.arange(1, len(order) + 1)
+    for s, w in weights.items():
+        most = max(most, float(np.abs(np.cumsum(order == s) - float(Fraction(w) / total) * t).max()))
+    return most
+
+
+def whole_order(phase):
+    return np.tile(phase.order, phase.slots // len(phase.order))
+
+
+@pytest.mark.parametrize("share", [{0: 500, 1: 300, 2: 199, 3: 1}, {0: 997, 1: 1, 2: 1, 3: 1}, {i: 20 for i in range(50)}, {0: 3, 1: 7, 2: 11, 3: 2}])
+def test_schedule_by_brute_force(share):
+    got = mixing.schedule(share, dict.fromkeys(share, 1 << 40))
+    assert got == brute_edf(share, sum(share.values())) and Counter(got) == share
+
+
+def test_deviation_from_the_given_weights_stays_below_a_block():
+    big = 2_000_000
+    for weights in ({0: 0.7, 1: 0.2996, 2: 0.0004}, {0: Fraction(1, 3), 1: Fraction(1, 7), 2: Fraction(11, 21)}, {i: math.isqrt(1000 + 37 * i * i) for i in range(7)}):
+        exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+        blocks = {s: int(big * w / sum(exact.values())) for s, w in exact.items()}
+        first = mixing.phases(blocks, weights)[0]
+        assert first.slots >= 1_000_000 and farthest(exact, whole_order(first)) < 1
+
+
+def test_any_number_of_sources():
+    rng = random.Random(17)
+    blocks = {i: rng.randrange(1, 60) for i in range(1200)}
+    plan = mixing.phases(blocks, {i: math.isqrt(n) for i, n in blocks.items()})
+    placed = Counter()
+    for phase in plan:
+        order = whole_order(phase)
+        placed.update(order.tolist())
+        share = {s: math.isqrt(blocks[s]) for s in blocks if placed[s] < blocks[s] or s in phase.own}
+        if len(order) < 3000:
+            assert farthest({s: Fraction(n) for s, n in share.items()}, order) < 1
+    assert placed == blocks
 
 
 def test_mixing_places_every_row_once(spark):
     rows = [(i % 700, f"s{min(i % 7, 3)}" if i % 11 else None, "t") for i in range(1500)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, skip string")
-    got = mixing.mix_sources(docs, {"s0": 5, "s1": 1, "s3": 2}, block_rows=7, resolution=50).toPandas()
+    docs = spark.createDataFrame(rows, "doc_id long, source string, __s string").withColumnRenamed("__s", "slot")
+    weights = {"s0": 5, "s1": 1, "s3": 0.25}
+    got = mixing.mix_sources(docs, weights, columns=["doc_id", "source", "slot"], block_rows=7).toPandas()
     assert sorted(got["mix_position"]) == list(range(1500))
     assert (got.groupby("mix_slot")["mix_block"].nunique() == 1).all() and got.groupby("mix_slot").size().max() <= 7
     assert (got.groupby(["source", "mix_block"], dropna=False).size() <= 7).all()
+    # slots follow the phases of a simulation over the counts alone
+    counts = Counter(s for _, s, _ in rows)
+    names = sorted(counts, key=lambda s: (s is None, s or ""))
+    plan = mixing.phases({i: -(-counts[s] // 7) for i, s in enumerate(names)}, {i: weights.get(s, 0.25) for i, s in enumerate(names)})
+    want = [names[s] for phase in plan for s in whole_order(phase)]
+    assert [r.source for r in got.drop_duplicates("mix_slot").sort_values("mix_slot").replace({np.nan: None}).itertuples()] == want
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
