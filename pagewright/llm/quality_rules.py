@@ -2,9 +2,15 @@
 
 Every text yields a few integer measures. Each measure's distribution is kept, for every language and source, as a
 log-bucketed quantile sketch: counts by bucket, five mantissa bits a power of two, so a quantile is at most 1/32 too high.
-Counts add up, so sketches merge: partial aggregation merges them inside Spark, and groups with few rows use the merged
-sketch of their language, then of the whole corpus. A rule's threshold is a fence, quartile plus `spread` times the
-interquartile range plus the measure's least margin; documents are then joined to their group's fences.
+Counts add up, so sketches merge: partial aggregation merges them inside Spark, and sources merge into languages and these into
+the corpus. A group's quantiles are drawn towards its parent's by the weight of `prior` rows: a group of that many stands halfway,
+a small one is nearly its parent, a large one nearly itself, and no size switches anything.
+
+A rule's threshold is a fence, the upper decile plus `spread` times its distance from the median (and as far below the lower decile
+for the mean word length). No measure has a cutoff of its own: a group where most texts have no symbols has a fence of 0. Since a
+text's share is a small sample, a text goes only if its count is over what the fence's share makes likely for its length, by more
+than `deviations` standard deviations of that count, where what repeats counts by the piece; a mean strays alike. Documents are then joined to
+their group's fences.
 
 Defined cases: a null or empty text has no words and fails the base rule; null language or source is a group of its own;
 repeated rows each get their own verdict; an empty table gives an empty result; other columns are not read.
@@ -19,14 +25,16 @@ from pyspark.sql.window import Window
 from .common import cut, let, words_of
 
 WINDOW = 8
-#: measure: (least margin of the upper fence, of the lower fence or None); shares are in ten-thousandths.
+#: measure: (count, whole, size of a piece), a share in ten-thousandths; or None where the measure is a mean with fences on both sides.
 MEASURES = {
-    "symbol_share": (500, None),
-    "line_share": (2500, None),
-    "repeat_share": (1500, None),
-    "upper_share": (2500, None),
-    "word_length": (400, 250),
+    "symbol_share": ("n_symbols", "word_chars", 1),
+    "line_share": ("n_dup_lines", "n_lines", 1),
+    "repeat_share": ("n_repeat_words", "n_words", 2 * WINDOW),
+    "upper_share": ("n_upper", "word_chars", 1),
+    "word_length": None,
 }
+LEVELS = (10, 50, 90)
+SHARES = {m: x for m, x in MEASURES.items() if x}
 
 
 def repeat_words(words: Column, width: int = WINDOW) -> Column:
@@ -71,17 +79,9 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_upper"),
     )
 
-    def share(part: str, whole: str, scale: int = 10000) -> Column:
-        return F.when(F.col(whole) > 0, F.expr(f"{part} * {scale} div {whole}")).otherwise(F.lit(0)).cast("long")
-
-    return rows.select(
-        "*",
-        share("n_symbols", "word_chars").alias("symbol_share"),
-        share("n_dup_lines", "n_lines").alias("line_share"),
-        share("n_repeat_words", "n_words").alias("repeat_share"),
-        share("n_upper", "word_chars").alias("upper_share"),
-        share("word_chars", "n_words", 100).alias("word_length"),
-    )
+    shares = [F.when(F.col(whole) > 0, F.expr(f"{part} * 10000 div {whole}")).otherwise(F.lit(0)).cast("long").alias(m) for m, (part, whole, _) in SHARES.items()]
+    mean = F.when(F.col("n_words") > 0, F.expr("word_chars * 100 div n_words")).otherwise(F.lit(0)).cast("long").alias("word_length")
+    return rows.select("*", *shares, mean)
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -92,76 +92,71 @@ def sketches(rows: DataFrame) -> DataFrame:
     return flat.groupBy("lang", "source", "measure", "top").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """One row for each key with {prefix}_n and {prefix}_{measure}_lo, _hi: the merged sketch's fences' quartiles."""
+def quantiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """One row for each key with {prefix}_n and {prefix}_{measure}_{level}: quantiles of the merged sketch."""
     merged = sketch.groupBy(*keys, "measure", "top").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*keys, "measure")
     merged = merged.withColumn("below", F.sum("n").over(part.orderBy("top"))).withColumn("all", F.sum("n").over(part))
-    quart = merged.groupBy(*keys, "measure").agg(
-        F.max("all").alias("n"),
-        F.min(F.when(F.col("below") * 4 >= F.col("all"), F.col("top"))).alias("q1"),
-        F.min(F.when(F.col("below") * 4 >= F.col("all") * 3, F.col("top"))).alias("q3"),
-    )
-    cells = [F.max(F.when(F.col("measure") == m, F.col(q))).alias(f"{prefix}_{m}_{q}") for m in MEASURES for q in ("q1", "q3")]
-    return quart.groupBy(*keys).agg(F.max("n").alias(f"{prefix}_n"), *cells)
-
-
-def quality_rules(docs: DataFrame, min_rows: int = 200, spread: int = 3, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+    at = merged.groupBy(*keys, "measure").agg(F.max("all").alias("n"), *[F.min(F.when(F.col("below") * 100 >= F.col("all") * q, F.col("top"))).alias(f"q{q}") for q in LEVELS])
+    cells = [F.max(F.when(F.col("measure") == m, F.col(f"q{q}"))).alias(f"{prefix}_{m}_{q}") for m in MEASURES for q in LEVELS]
+    return at.groupBy(*keys).agg(F.max("n").alias(f"{prefix}_n"), *cells)
+
+
+def _rules(prior: int, spread: int, deviations: int) -> tuple[dict[str, str], dict[str, str], list[str]]:
+    """(languages' quantiles, fences, tests) in words that Spark and DuckDB share but for integer division, written DIV."""
+    lang = {f"d_{m}_{q}": f"(l_n * l_{m}_{q} + {prior} * a_{m}_{q}) DIV (l_n + {prior})" for m in MEASURES for q in LEVELS}
+    own = {(m, q): f"((s_n * s_{m}_{q} + {prior} * d_{m}_{q}) DIV (s_n + {prior}))" for m in MEASURES for q in LEVELS}
+    fences, tests = {}, []
+    for m, share in MEASURES.items():
+        fences[f"{m}_most"] = f"{own[m, 90]} + {spread} * ({own[m, 90]} - {own[m, 50]})"
+        if share:
+            count, whole, piece = share
+            over = f"(cast(10000 * {count} as double) - cast({m}_most * {whole} as double))"
+            tests.append(f"({over} <= 0 or {over} * {over} <= {deviations**2 * piece}.0 * 10000.0 * (cast({m}_most * {whole} as double) + {10000 * piece}.0))")
+        else:
+            fences[f"{m}_least"] = f"{own[m, 10]} - {spread} * ({own[m, 50]} - {own[m, 10]})"
+            # words stray from their mean length by about half of it, means of n words by that over the root of n
+            for off, fence in ((f"{m} - {m}_most", f"{m}_most"), (f"{m}_least - {m}", f"{m}_least")):
+                tests.append(f"({off} <= 0 or cast({off} as double) * ({off}) * 4 * n_words <= {deviations**2}.0 * {fence} * {fence})")
+    return lang, fences, tests
+
+
+def quality_rules(docs: DataFrame, prior: int = 200, spread: int = 3, deviations: int = 4, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
     """Verdicts: doc_id, the base counts, base_failed, kept, and the measures."""
     rows = cut(measures(docs))
     sketch = sketches(rows)
-    by_source = quartiles(sketch, ["lang", "source"], "s")
-    by_lang = quartiles(sketch, ["lang"], "l").withColumnRenamed("lang", "l_lang")
-    overall = quartiles(sketch.withColumn("everything", F.lit(1)), ["everything"], "a")
-    groups = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang"))).withColumn("one", F.lit(1)).join(overall, F.col("one") == F.col("everything"))
-
-    def pick(m: str, q: str) -> Column:
-        return F.when(F.col("s_n") >= min_rows, F.col(f"s_{m}_{q}")).when(F.col("l_n") >= min_rows, F.col(f"l_{m}_{q}")).otherwise(F.col(f"a_{m}_{q}"))
-
-    fences = []
-    for m, (up, down) in MEASURES.items():
-        width = spread * (pick(m, "q3") - pick(m, "q1"))
-        fences.append((pick(m, "q3") + width + up).alias(f"{m}_most"))
-        if down is not None:
-            fences.append((pick(m, "q1") - width - down).alias(f"{m}_least"))
-    fences = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *fences)
-    joined = rows.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    by_source = quantiles(sketch, ["lang", "source"], "s")
+    by_lang = quantiles(sketch, ["lang"], "l").withColumnRenamed("lang", "l_lang")
+    overall = quantiles(sketch.withColumn("everything", F.lit(1)), ["everything"], "a")
+    lang, fences, tests = _rules(prior, spread, deviations)
+    native = lambda named: [F.expr(x.replace("DIV", "div")).cast("long").alias(c) for c, x in named.items()]
+    by_lang = by_lang.withColumn("one", F.lit(1)).join(overall, F.col("one") == F.col("everything")).select("l_lang", *native(lang))
+    groups = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")))
+    groups = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *native(fences))
+    joined = rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    within = F.lit(True)
-    for m, (_, down) in MEASURES.items():
-        within = within & (F.col(m) <= F.col(f"{m}_most"))
-        if down is not None:
-            within = within & (F.col(m) >= F.col(f"{m}_least"))
+    within = F.expr(" and ".join(tests))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept"), *MEASURES
     )
 
 
-def _fence_sql() -> tuple[str, str]:
-    picks, tests = [], []
-    for m, (up, down) in MEASURES.items():
-        p = {q: f"case when s.n >= 200 then s.{m}_{q} when l.n >= 200 then l.{m}_{q} else a.{m}_{q} end" for q in ("q1", "q3")}
-        picks.append(f"({p['q3']}) + 3 * (({p['q3']}) - ({p['q1']})) + {up} as {m}_most")
-        tests.append(f"{m} <= {m}_most")
-        if down is not None:
-            picks.append(f"({p['q1']}) - 3 * (({p['q3']}) - ({p['q1']})) - {down} as {m}_least")
-            tests.append(f"{m} >= {m}_least")
-    return ", ".join(picks), " and ".join(tests)
-
-
 def oracle() -> str:
-    def quart(keys: str) -> str:
+    def quantile_sql(keys: str, prefix: str) -> str:
         part = f"partition by {keys}{', ' if keys else ''}measure"
         lead = f"{keys}, " if keys else ""
-        cells = ", ".join(f"max(case when measure = '{m}' then {q} end) as {m}_{q}" for m in MEASURES for q in ("q1", "q3"))
+        cells = ", ".join(f"max(case when measure = '{m}' then q{q} end) as {prefix}_{m}_{q}" for m in MEASURES for q in LEVELS)
+        levels = ", ".join(f"min(case when below * 100 >= total * {q} then top end) as q{q}" for q in LEVELS)
         group = f"group by {keys}" if keys else ""
-        return f"""select {lead}max(total) as n, {cells} from (
-            select {lead}measure, max(total) as total, min(case when below * 4 >= total then top end) as q1, min(case when below * 4 >= total * 3 then top end) as q3
+        return f"""select {lead}max(total) as {prefix}_n, {cells} from (
+            select {lead}measure, max(total) as total, {levels}
             from (select {lead}measure, top, sum(n) over ({part} order by top) as below, sum(n) over ({part}) as total
                   from (select {lead}measure, top, sum(n) as n from sketch group by {lead}measure, top))
             group by {lead}measure) {group}"""
 
-    picks, tests = _fence_sql()
+    lang, fences, tests = _rules(200, 3, 4)
+    named = lambda columns: ", ".join(f"cast({x.replace('DIV', '//')} as bigint) as {c}" for c, x in columns.items())
+    shares = ", ".join(f"case when {whole} > 0 then {part} * 10000 // {whole} else 0 end as {m}" for m, (part, whole, _) in SHARES.items())
     flat = " union all ".join(f"select lang, source, '{m}' as measure, {m} as value from m" for m in MEASURES)
     return f"""
 with base as (
@@ -180,20 +175,15 @@ c as (
          length(regexp_replace(text, '[^A-Z]+', '', 'g'))::bigint as n_upper
   from base left join rep using (rid)),
 m as (
-  select *, case when word_chars > 0 then n_symbols * 10000 // word_chars else 0 end as symbol_share,
-         case when n_lines > 0 then n_dup_lines * 10000 // n_lines else 0 end as line_share,
-         case when n_words > 0 then n_repeat_words * 10000 // n_words else 0 end as repeat_share,
-         case when word_chars > 0 then n_upper * 10000 // word_chars else 0 end as upper_share,
-         case when n_words > 0 then word_chars * 100 // n_words else 0 end as word_length
+  select *, {shares}, case when n_words > 0 then word_chars * 100 // n_words else 0 end as word_length
   from c),
 flat as (select *, greatest(length(bin(value)) - 6, 0) as sh from ({flat})),
 sketch as (select lang, source, measure, (((value >> sh::bigint) + 1) << sh::bigint) - 1 as top, count(*) as n from flat group by all),
-s as ({quart("lang, source")}),
-l as ({quart("lang")}),
-a as ({quart("")}),
-f as (select s.lang, s.source, {picks} from s join l on s.lang is not distinct from l.lang cross join a),
+s as ({quantile_sql("lang, source", "s")}),
+l as (select l.lang, {named(lang)} from ({quantile_sql("lang", "l")}) l cross join ({quantile_sql("", "a")}) a),
+f as (select s.lang, s.source, {named(fences)} from s join l on s.lang is not distinct from l.lang),
 v as (select m.*, f.* exclude (lang, source), n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed
       from m left join f on m.lang is not distinct from f.lang and m.source is not distinct from f.source)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed) and {tests} as kept,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed) and {" and ".join(tests)} as kept,
        {", ".join(f"{m}::bigint as {m}" for m in MEASURES)}
 from v"""
