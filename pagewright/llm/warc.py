@@ -3,10 +3,14 @@
 Pages become WARC/1.1 records, gzipped one by one. Payloads of at least `least_revisit` bytes that are equal are stored once:
 the capture with the largest page_id is the response, the others are revisits. Each task sorts its captures by URL key and
 timestamp and writes one archive, a locally sorted run, and the run's index entries. The entries are dealt to ranges of the key
-space; each range merges its stretch of every run with a loser tree into one ordered capture history. Records are read back
-through that history by offset, and every payload is checked against its digest.
+space, as many as the archives' bytes ask for, so a range's records, and with them its entries, are bounded however large the
+archives are, and equal keys may be split. Spark's own external sort lines a range's entries up run by run in the order of their
+offsets, which is the order of the run; they are kept as columns, and a loser tree merges the runs, each by a cursor that unpacks a
+few entries at a time, into one ordered capture history. Entries travel, not run files: a table of stretches, one for every run and
+range, would outgrow them with many runs. Records are read back through that history by offset, and every payload is checked against
+its digest.
 
-Archives lie in the shared folder. A task that is run again writes a file of its own; only files that the index names are read.
+Archives lie in the shared folder, and those of a folder that the operator chose itself are removed when the process ends. A task that is run again writes a file of its own; only files that the index names are read.
 
 Defined cases: null html is an empty payload; a null url has an empty key and no target header; a row with a null page_id is
 always a response and refers to none; of repeated rows with the largest page_id each is a response; an empty table gives an empty
@@ -16,23 +20,25 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, shared_dir
+from .common import LOWER, UPPER, cut, in_arrow, scratch
 
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "url_key string, stamp string, page_id long, file string, start long, size long"
-#: Records that are fetched and held at once.
-FETCH = 256
+#: Records that are fetched and held at once, and entries that a cursor unpacks.
+FETCH, UNPACK = 256, 64
+#: Bytes of archive whose records one range holds, about.
+RANGE_BYTES = 64 << 20
 
 
 def url_key(url: Column) -> Column:
@@ -149,23 +155,39 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = LEAST_REV
         if out is not None:
             out.close()
 
-    return cut(rows.mapInArrow(emit, INDEX))
+    return cut(rows.transform(in_arrow, emit, INDEX))
 
 
-def capture_history(index: DataFrame, folder: str) -> DataFrame:
+def cursor(entries: list[pa.RecordBatch]) -> Iterator[tuple[tuple[str, str, int, int], int | None, str, int]]:
+    """(order, page_id, file, size) of a run's entries, unpacked a few at a time."""
+    for batch in entries:
+        for at in range(0, batch.num_rows, UNPACK):
+            for key, stamp, page, file, start, size in zip(*(c.to_pylist() for c in batch.slice(at, UNPACK).columns), strict=True):
+                yield (key, stamp, -1 if page is None else page, start), page, file, size
+
+
+def capture_history(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Every record, in global order of URL key, timestamp and page id, read back from its archive."""
-    ranged = index.repartitionByRange("url_key", "stamp", F.coalesce("page_id", F.lit(-1)))
+    total = index.agg(F.sum("size")).first()[0] or 0
+    ranges = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    ranged = index.repartitionByRange(ranges, "url_key", "stamp", F.coalesce("page_id", F.lit(-1)), "file", "start").sortWithinPartitions("file", "start")
     schema = "url_key string, stamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list] = {}
+        runs: list[list[pa.RecordBatch]] = []
+        last = None
         for batch in batches:
-            for key, stamp, page, file, start, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # within a run offsets follow its order
-                runs.setdefault(file, []).append(((key, stamp, -1 if page is None else page, start), page, file, size))
+            file = batch.column("file").dictionary_encode()
+            names, codes = file.dictionary.to_pylist(), file.indices.to_numpy()
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else codes
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)], strict=True):
+                if names[codes[a]] != last:
+                    last = names[codes[a]]
+                    runs.append([])
+                runs[-1].append(batch.slice(a, b - a))
         where, base = fs.FileSystem.from_uri(folder)
-        merged = LoserTree([iter(sorted(r, key=lambda x: x[0][3])) for _, r in sorted(runs.items())])
+        merged = LoserTree([cursor(r) for r in runs])
         held: list = []
 
         def fetched() -> pa.RecordBatch:
@@ -186,7 +208,7 @@ def capture_history(index: DataFrame, folder: str) -> DataFrame:
         if held:
             yield fetched()
 
-    return ranged.mapInArrow(emit, schema)
+    return ranged.transform(in_arrow, emit, schema)
 
 
 def _page(name: str) -> int | None:
@@ -206,7 +228,7 @@ def read_capture(data: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, stamp of every page, through the archives."""
-    folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = folder or scratch(pages.sparkSession, "warc")
     history = capture_history(write_archives(pages, folder), folder)
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp")
 
