@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, let
+from .common import laid_down, let, quoted
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A maximal run of these characters is the leftmost match; shorter runs hold no longer one, so the least length can stand in the pattern.
@@ -40,31 +40,58 @@ ENCODINGS = (
     ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
 )
 CLASSES = 8
+#: Values that running() runs through at once, and characters of a chunk of text.
+STRETCH, CHUNK = 64, 4096
 BANDS = (24, 32, 48, 64)
 BINS = 50
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
 
 
+def running(values: Column, step) -> Column:
+    """The values with all before them taken in by step: sums or maxima. Stretches are run through by themselves and what came before
+    each is added, so that n values cost n times a stretch, not n times n."""
+
+    def grown(xs: Column) -> Column:
+        first = F.slice(xs, 1, 1)
+        return F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), first, lambda acc, x: F.array_append(acc, step(F.element_at(acc, -1), x)))
+
+    def joined_up(xs: Column) -> Column:
+        def with_ends(parts: Column) -> Column:
+            ends = grown(F.transform(parts, lambda p: F.element_at(p, -1)))
+            return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: step(F.get(e, i - 1), v))))))
+
+        places = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int"))
+        return let(F.transform(places, lambda j: grown(F.slice(xs, j * STRETCH + 1, STRETCH))), with_ends)
+
+    return F.when(F.size(values) > 0, let(values, joined_up)).otherwise(values)
+
+
 def matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of the leftmost non-overlapping matches: what lies between them and they themselves give the positions."""
 
     def located(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern), lambda x: F.length(x))
-        sizes = F.transform(found, lambda x: F.length(x))
-        # the running end of (gap, match) pairs
-        ends = F.aggregate(
-            F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), sizes.alias("m")),
-            F.array().cast("array<int>"),
-            lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(F.lit(0))), -1), F.lit(0)) + x["g"] + x["m"])),
-        )
-        spans = let(ends, lambda e: F.transform(found, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), F.lit(None).cast("double").alias("p"), x.alias("text"))))
-        return spans
+        steps = let(gaps, lambda g: F.transform(found, lambda x, i: F.get(g, i) + F.length(x)))
+        span = lambda x, end: F.struct((end - F.length(x)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.lit(None).cast("double").alias("p"), x.alias("text"))
+        return let(running(steps, lambda a, b: a + b), lambda e: F.transform(found, lambda x, i: span(x, F.get(e, i))))
 
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     out = F.when(text.rlike(pattern), let(found, located)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,p:double,text:string>>"))
     return F.filter(out, keep) if keep else out
 
 
+def apart(base: Column, others: Column) -> Column:
+    """Of the other spans, whose kind is greater, those that share no place with a base span."""
+
+    def sifted(spans: Column) -> Column:
+        of_base = lambda s, value, rest: F.when(s["kind"] < 3, value).otherwise(F.lit(rest))
+        reached = running(F.transform(spans, lambda s: of_base(s, s["end"], -1)), F.greatest)
+        coming = F.reverse(running(F.reverse(F.transform(spans, lambda s: of_base(s, s["start"], 2**31 - 1))), F.least))
+        return let(F.struct(reached.alias("r"), coming.alias("c")), lambda x: F.filter(spans, lambda s, i: (s["kind"] == 3) & (F.get(x["r"], i) <= s["start"]) & (F.get(x["c"], i) >= s["end"])))
+
+    return F.when(F.size(base) == 0, others).when(F.size(others) == 0, others).otherwise(let(F.array_sort(F.concat(base, others)), sifted))
+
+
 def normal_tail(z: Column) -> Column:
     """P(Z > z), to about 2e-4, by the logistic approximation."""
     return 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.070566 * z * z * z)))
@@ -152,8 +179,8 @@ def cuts(tested: DataFrame, alpha: float) -> dict[int, float]:
     return out
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = (), alpha: float = 0.1) -> DataFrame:
-    """doc_id, kept columns, base (spans) and added (spans that the battery finds, none within a base span)."""
+def scan(docs: DataFrame, keep: list[str], alpha: float = 0.1) -> DataFrame:
+    """row (a struct of the kept columns), base (spans) and added (spans that the battery finds, none over a base span)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     value = F.regexp_extract
     base = F.concat(
@@ -161,15 +188,14 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = (), alpha: float = 0.1) -> Dat
         matches(text, ACCESS, 1),
         matches(text, HEX, 2),
     )
-    rows = docs.select("doc_id", *keep, base.alias("base"), candidates(text).alias("cand"))
-    fresh = F.filter("cand", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    rows = rows.select("doc_id", *keep, F.transform("base", _span).alias("base"), fresh.alias("cand"))
+    rows = docs.select(F.struct(*quoted(keep)).alias("row"), base.alias("base"), candidates(text).alias("cand"))
+    rows = rows.select("row", F.transform("base", _span).alias("base"), apart(F.col("base"), F.col("cand")).alias("cand"))
     tested = F.filter(F.transform("cand", lambda c: F.struct(c["start"], c["kind"], c["end"], randomness(c["text"]).alias("p"))), lambda c: c["p"].isNotNull())
-    rows = cut(rows.select("doc_id", *keep, "base", tested.cast(SPAN).alias("cand")))
+    rows = laid_down(rows.select("row", "base", tested.cast(SPAN).alias("cand")))
     flat = rows.select(F.explode("cand").alias("c")).select(band_of(F.col("c.end") - F.col("c.start")).alias("band"), F.col("c.p").alias("p"))
     limits = cuts(flat, alpha)
     least = lambda c: F.coalesce(F.get(F.array(*[F.lit(limits.get(b, 2.0)) for b in range(len(BANDS) + 1)]), band_of(c["end"] - c["start"])), F.lit(2.0))
-    return rows.select("doc_id", *keep, "base", F.filter("cand", lambda c: c["p"] >= least(c)).alias("added"))
+    return rows.select("row", "base", F.filter("cand", lambda c: c["p"] >= least(c)).alias("added"))
 
 
 def _span(x: Column) -> Column:
@@ -183,10 +209,10 @@ def joined(spans: Column) -> Column:
 
 def secret_scan(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    rows = scan(docs, alpha=alpha)
+    rows = scan(docs, ["doc_id"], alpha)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return rows.select(
-        "doc_id",
+        "row.doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
@@ -197,21 +223,29 @@ def secret_scan(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 
 def masked(docs: DataFrame, columns: list[str], mask: str = "[secret]", alpha: float = 0.1) -> DataFrame:
-    """docs with every span replaced by mask and n_chars set anew; overlapping spans are one."""
-    rows = scan(docs, keep=tuple(c for c in columns if c != "doc_id"), alpha=alpha)
+    """docs with every span replaced by mask and n_chars set anew; overlapping spans are one. Columns may have any names."""
+    rows = scan(docs, columns, alpha)
+    text = F.col("row.text")
 
     def redacted(spans: Column) -> Column:
-        # pieces between spans; a span that begins before the last end adds nothing but its longer end
-        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-        step = lambda a, s: F.struct(
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], s["end"]).alias("at"),
-        )
-        return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-
-    spans = F.array_sort(F.concat("base", "added"))
-    text = F.when(F.size("base") + F.size("added") == 0, F.col("text")).otherwise(redacted(spans))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("base") + F.size("added") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*columns)
+        # a text in chunks, so that a piece is cut from a few of them and not looked for from the text's beginning
+        def cut_up(chunks: Column) -> Column:
+            def piece(start: Column, end: Column) -> Column:
+                first = F.floor(start / CHUNK).cast("int")
+                some = F.slice(chunks, first + 1, F.floor((F.greatest(end, start + 1) - 1) / CHUNK).cast("int") - first + 1)
+                return F.substring(F.array_join(some, ""), start - first * CHUNK + 1, end - start)
+
+            def pieces(reached: Column) -> Column:
+                before = lambda i: F.when(i == 0, 0).otherwise(F.get(reached, i - 1))
+                parts = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"]), F.lit(mask))).otherwise(F.lit("")))
+                return F.concat(F.array_join(parts, ""), piece(F.element_at(reached, -1), F.length(text)))
+
+            return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), pieces)
+
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), cut_up)
+
+    none = F.size("base") + F.size("added") == 0
+    new_text = F.when(none, text).otherwise(let(F.array_sort(F.concat("base", "added")), redacted))
+    rows = rows.select("row", none.alias("none"), new_text.alias("new_text"))
+    made = {"text": F.col("new_text"), "n_chars": F.when(F.col("none"), F.col("row.n_chars")).otherwise(F.length("new_text").cast("long")) if "n_chars" in columns else None}
+    return rows.select(*[(F.col("row").getField(c) if c not in made else made[c]).alias(c) for c in columns])
