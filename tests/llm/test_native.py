@@ -5,8 +5,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from pagewright.llm import quality_rules, secret_scan, url_filters
+from pagewright.llm import jaccard_join, quality_rules, secret_scan, url_filters
 from pagewright.llm.components import components
 
 ODD = [(1, None, None, None, 0, "x"), (2, "", "en", None, 0, "x"), (3, "a " * 30, "en", "s", 60, "y"), (3, "a " * 30, "en", "s", 60, "y"), (None, "words " + "é" * 50, None, "s", 56, None)]
@@ -31,6 +32,18 @@ def test_quality_rules_by_sql(spark):
     same(quality_rules.quality_rules(docs).toPandas(), duck(docs, "documents", quality_rules.oracle()))
 
 
+def test_thresholds_follow_their_source(spark):
+    """The same text passes where its like is usual and goes where it is not; a small source leans on its language."""
+    plain, marked = "plain words of some text that goes on and on " * 8, "*marked* words & more | of some text that goes on " * 8
+    rows = [(i, plain, "en", "prose", 0, None) for i in range(3000)] + [(5000 + i, marked, "en", "wiki", 0, None) for i in range(1000)]
+    rows += [(9000, marked, "en", "prose", 0, None), (9001, plain, "en", "wiki", 0, None), (9002, plain, "en", "tiny", 0, None), (9003, "$#" * 90 + plain, "en", "tiny", 0, None)]
+    rows = [(i, f"{t} {i} end of it all", *rest) for i, t, *rest in rows]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    wide = quality_rules.quality_rules(docs, repeat_percent=100).toPandas().set_index("doc_id")
+    assert wide.loc[5000:5999, "kept"].all() and wide.loc[0:2999, "kept"].all()
+    assert not wide.loc[9000, "kept"] and wide.loc[9001, "kept"] and wide.loc[9002, "kept"] and not wide.loc[9003, "kept"]
+
+
 def brute_repeats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
@@ -67,6 +80,32 @@ def test_url_filters(spark):
     assert {r["verdict"] for r in url_filters.url_filter(pages, extra).where("page_id = 10").collect()} == {"block"}
 
 
+def test_links_of_every_form(spark):
+    link = lambda href, rel="canonical": f"<link rel={rel} href={href}>"
+    forms = {
+        "relative": ("http://h.org/a/b/p", link("../../es/2"), "h.org/es/2"),
+        "relative to the base": ("http://h.org/a", '<base href="http://k.org/x/y">' + link("./es/./3"), "k.org/x/es/3"),
+        "entity": ("http://h.org/a", link('"http://k.org/es?x=1&amp;y=&#38;z"'), "k.org/es?x=1&y=&z"),
+        "second": ("http://h.org/a", link("/one") + link("'/es/4'"), "h.org/es/4"),
+        "port": ("http://h.org/a", link("https://k.org:443/es/5"), "k.org/es/5"),
+        "other port": ("http://h.org/a", link("http://k.org:443/es/5"), "k.org:443/es/5"),
+        "href first": ("http://h.org/a", '<LINK data-rel="x" HREF="//k.org/es/6" REL="alternate Canonical" />', "k.org/es/6"),
+        "refresh": ("https://h.org/a", """<meta content="5; URL='/es/7'" http-equiv='Refresh'>""", "h.org/es/7"),
+        "query": ("http://h.org/a?z", link("?q"), "h.org/a?q"),
+        "comment": ("http://h.org/a", "<!-- " + link("/es/8") + " -->", None),
+        "script": ("http://h.org/a", "<script>'" + link("/es/9") + "'</script>", None),
+        "another relation": ("http://h.org/a", link("/es/10", "alternate"), None),
+        "no url": ("http://h.org/a", link("mailto:x@y.org"), None),
+        "fragment": ("http://h.org/a", link("#top"), None),
+    }
+    pages = spark.createDataFrame([(i, url, html) for i, (url, html, _) in enumerate(forms.values())], "page_id long, url string, html string")
+    for i, (form, (_, _, want)) in enumerate(forms.items()):
+        got = {r["v"] for r in url_filters.alias_edges(pages.where(f"page_id = {i}")).collect()} - {None}
+        assert (want in got) if want else not got, (form, got)
+    same(url_filters.url_filter(pages).toPandas(), duck(pages, "pages", url_filters.oracle()))
+    same(url_filters.url_filter(spark.createDataFrame(PAGES, pages.schema)).toPandas(), duck(spark.createDataFrame(PAGES, pages.schema), "pages", url_filters.oracle()))
+
+
 def test_components_by_brute_force(spark):
     import random
 
@@ -142,3 +181,43 @@ def test_masking(spark):
     docs = spark.createDataFrame([(1, "é token=abcdef0123456789abcdef01 end", 36), (2, "plain", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.masked(docs, docs.columns).collect()}
     assert got == {1: ("é [secret] end", 14), 2: ("plain", 5), 3: (None, None)}
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    names = ["doc_id", "text", "base", "cand", "added", "row", "n_chars", "none", "new_text", "a.b", "gone"]
+    rows = [(1, "token=abcdef123456", *"xyzw", 18, *"pqrs"), (1, "token=abcdef123456", *"xyzw", 18, *"pqrs"), (2, None, *"xyzw", None, *"pqrs")]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    got = secret_scan.masked(docs, docs.columns)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted([(1, "[secret]", *"xyzw", 8, *"pqrs")] * 2 + [(2, None, *"xyzw", None, *"pqrs")])
+    assert [r["n_assign"] for r in secret_scan.secret_scan(docs).collect()] == [1, 1, 0]
+    assert [r["text"] for r in jaccard_join.one_of_each(docs, docs.columns).orderBy("doc_id").collect()] == ["token=abcdef123456", None]
+
+
+def test_running(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(-9, 9) for _ in range(n)]) for i, n in enumerate((0, 1, 2, 63, 64, 65, 128, 129, 1000))]
+    got = spark.createDataFrame(rows, "i int, v array<int>").select("i", secret_scan.running(F.col("v"), lambda a, b: a + b).alias("s"), secret_scan.running(F.col("v"), F.greatest).alias("m")).collect()
+    assert [(r["s"], r["m"]) for r in sorted(got)] == [(list(itertools.accumulate(v)), list(itertools.accumulate(v, max))) for _, v in rows]
+
+
+def test_many_spans_of_one_long_text(spark):
+    import random
+    import time
+
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice(["é", "word", "😀", "x=1"]) for _ in range(n))
+    text = " ".join(f"{words(rng.randrange(4))} {''.join(rng.choice('0123456789abcdef') for _ in range(24))} {'password: ' + 'k' * 7 if rng.random() < 0.2 else ''}" for _ in range(16000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began, want = time.time(), brute_spans(text)
+    row = secret_scan.secret_scan(docs).first()
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+    out, at = [], 0
+    for a, _, b in want:
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    assert secret_scan.masked(docs, docs.columns).first()["text"] == "".join(out) + text[at:]
+    assert time.time() - began < 60

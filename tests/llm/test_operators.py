@@ -12,6 +12,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import decontamination, jaccard_join, mixing, quality_model, substring_dedup, toxicity, warc
 from pagewright.llm.words import split_words
@@ -299,8 +300,12 @@ def test_archives_round_trip(spark, tmp_path):
         revisit = len(data) >= 1000 and page is not None and page < last
         want.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", last if revisit else None))
     assert Counter(got) == Counter(want)
-    keys = [(r["url_key"], r["stamp"]) for r in warc.capture_history(warc.write_archives(pages, str(tmp_path / "v")), str(tmp_path / "v")).collect()]
-    assert keys == sorted(keys) and warc.round_trip(pages.limit(0)).count() == 0
+    index = warc.write_archives(pages, str(tmp_path / "v"))
+    history = warc.capture_history(index, str(tmp_path / "v"), range_bytes=300)
+    keys = [(r["url_key"], r["stamp"]) for r in history.collect()]
+    # ranges follow the archives' bytes: no task reads them all back
+    assert history.rdd.getNumPartitions() > 8 and max(history.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= len(rows) // 2
+    assert keys == sorted(keys) and len(keys) == len(rows) and warc.round_trip(pages.limit(0)).count() == 0
 
 
 def labelled(rng):
