@@ -11,6 +11,15 @@ CONFUSABLES_AS = "------''''\"\"\"\" "
 # Words that say nothing about whose name it is.
 STOP_TOKENS = ("the", "and", "of", "a", "an", "to", "for")
 LEGAL_TOKENS = ("inc", "llc", "ltd", "gmbh", "corp", "corporation", "co", "company", "limited", "llp", "bv", "ag", "sa", "sas", "pty", "foundation", "nonprofit")
+# Words that say what kind of thing a name stands for.
+QUALIFIERS = (
+    "documentation", "software", "library", "framework", "platform", "agency", "studio", "consultancy", "tools", "developer", "hosting",
+    "marketplace", "app", "api", "saas", "analytics", "cloud", "foundation", "nonprofit", "open", "source", "university", "institute", "college",
+    "school", "council", "ministry", "department", "government", "clinic", "dental", "dentist", "medical", "hospital", "restaurant", "cafe", "hotel",
+    "salon", "garage", "bakery", "clothing", "apparel", "streetwear", "fashion", "wear", "shop", "store", "brand", "label", "boutique", "jewellery",
+    "jewelry", "furniture", "cosmetics", "beauty", "skincare", "footwear", "outfitters", "news", "magazine", "journal", "media", "publisher",
+    "review",
+)
 # RFC 3986 appendix B, with the parts that are asked for as groups.
 URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -128,3 +137,27 @@ def brand_token(name: Column) -> Column:
 def word_count(x: Column) -> Column:
     t = fold(x)
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
+
+
+def has_qualifier(x: Column) -> Column:
+    """Whether a text says what kind of thing it names, or its legal form."""
+    words = F.regexp_extract_all(F.lower(text_of(x)), F.lit("[a-z]+"), 0)
+    return F.arrays_overlap(words, F.array(*map(F.lit, QUALIFIERS + tuple(t for t in LEGAL_TOKENS if t != "foundation"))))
+
+
+def pct_encode_url(url: Column) -> Column:
+    """A url in ASCII: characters that urls may not hold are encoded byte by byte, as Latin-1 where all of them are, else as UTF-8;
+    sequences that are encoded already stay, in upper case. Null is the empty text."""
+    latin = text_of(url).rlike(r"^[\x00-\xFF]*$")
+    hexed = lambda c, charset: F.regexp_replace(F.hex(F.encode(c, charset)), "(..)", "%$1")
+    one = lambda c: (
+        F.when(c.rlike("^%[0-9a-f]{2}$"), F.upper(c))
+        .when(c.rlike(r"^(?:%..|[A-Za-z0-9:/?#\[\]@!$&'()*+,;=%~._-])$"), c)
+        .otherwise(F.when(latin, hexed(c, "ISO-8859-1")).otherwise(hexed(c, "UTF-8")))
+    )
+    return F.array_join(F.transform(F.regexp_extract_all(text_of(url), F.lit("(?s)%[0-9a-fA-F]{2}|."), 0), one), "")
+
+
+def dig(document: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; null where there is none."""
+    return F.get_json_object(document, "$." + path)

@@ -148,3 +148,20 @@ def name_groups(names: DataFrame) -> DataFrame:
         return site.sort_values("ord").assign(grp=where)[["site_id", "grp", "ord", "surface", "value"]]
 
     return rows.groupBy("site_id").applyInPandas(fold_site, "site_id string, grp long, ord long, surface string, value string")
+
+
+# What announces a legal name, what marks one, and words that follow it but are no part of it.
+FOOTER = r"(?s)(?:(?i:copyright|©|\(c\)|&copy;)).{0,120}?((?:[A-Z](?U:[\w&.'\-]*\s?)){1,6}[A-Z](?U:[\w&.'\-]*)\.?)"
+LEGAL_MARK = r"(?i)©|copyright|\binc\b|\bltd\b|\bllc\b|\bgmbh\b|\blimited\b|\bcorp(?:oration)?\b|\bvof\b|\bsl\b"
+FOOTER_NOISE = ("all", "rights", "reserved", "legal", "statements", "privacy", "terms", "notice", "the")
+
+
+def footer_name(raw: Column) -> Column:
+    """The last legal name that a page's source states after a copyright mark; null without one of three characters or more."""
+    html = F.regexp_replace(T.text_of(raw), r"(?is)<script\b.*?</script>", " ")
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(FOOTER), 0).alias("whole"), F.regexp_extract_all(html, F.lit(FOOTER), 1).alias("name"))
+    marked = F.filter(both, lambda m: F.concat(m["name"], F.lit(" "), F.substring(m["whole"], 1, 20)).rlike(LEGAL_MARK))
+    noise = rf"(?i)(?:(?:^|\s+)(?:{'|'.join(FOOTER_NOISE)})[.,]*)+$"
+    names = F.transform(marked, lambda m: F.regexp_replace(F.regexp_replace(F.regexp_replace(m["name"], r"\s+", " "), r"^ | $", ""), noise, ""))
+    names = F.transform(names, lambda n: F.regexp_replace(n, "^[ .,]+|[ .,]+$", ""))
+    return F.try_element_at(F.filter(names, lambda n: F.length(n) >= 3), F.lit(-1))

@@ -16,6 +16,7 @@ from pagewright.operators import passages as P
 from pagewright.operators import robots as R
 from pagewright.operators import runs as N
 from pagewright.operators import urls as U
+from pagewright.operators.containment import contained
 from pagewright.plans import audit as A
 from pagewright.plans import checks_content as K
 from pagewright.plans import fixtures as X
@@ -491,7 +492,7 @@ def anchor_match(spark, sf_dir):
 def anchor_match_benchmark(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", T.fold(F.col("text")).alias("want"))
     docs = table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("run"))
-    return docs.join(items, F.col("run").contains(F.col("want"))).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    return contained(items, "want", docs, ["doc_id"], "run").groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 def _sql_confusable(x: str) -> str:
@@ -512,9 +513,7 @@ def passage_contiguity(spark, sf_dir):
 @query(f"""with j as (select cast(item_id as varchar) as question_id, doc_id as page_id, instr({sql_fold('d.text')}, {sql_fold('b.text')}) - 1 as "at" from benchmark b join documents d on contains({sql_fold('d.text')}, {sql_fold('b.text')})) select question_id, page_id, "at", "at" <= 600 as in_window from j""")
 def first_window(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("passage"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    met = docs.join(items, T.fold(F.col("text")).contains(T.fold(F.col("passage"))))
-    return P.first_window(met.select("question_id", "page_id", "passage"), docs)
+    return P.first_window(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"))
 
 
 @query(f"""with {X.ctes(X.PASSAGES, X.BLOCKS)}, a as (select distinct question_id, page_id, unnest(string_split(lower({sql_fold('passage')}), ' ')) as w from passages), b as (select distinct page_id, block_ord, unnest(string_split(lower({sql_fold('text')}), ' ')) as w from blocks),
@@ -681,3 +680,6 @@ def corpus_stats(spark, sf_dir):
 def running_offset(spark, sf_dir):
     before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return table(spark, sf_dir, "documents").select(F.col("source").alias("site_id"), F.sum(F.length(T.text_of(F.col("text")))).over(before).alias("at"), "doc_id")
+
+
+from pagewright import capture_queries  # noqa: E402, F401  it registers its queries here

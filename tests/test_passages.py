@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from pagewright.operators import passages as P
+from pagewright.operators.containment import contained
 
 MARK = re.compile(r"[.!?][\"'”’]?(?=\s|$)")
 
@@ -38,3 +39,21 @@ def test_cut_passages(spark):
     rows = [("a", "two three", "One. So two  three it is. End."), ("b", "gone", "Nothing here."), ("c", "", "x"), ("d", None, "x"), ("e", "x.y\\E", "A x.y\\E b"), ("f", "v3.2 now.", "Old. Get v3.2 now. More.")]
     got = {r["question_id"]: r["passage"] for r in P.cut_passages(spark.createDataFrame(rows, "question_id string, anchor string, run string")).collect()}
     assert got == {"a": "So two  three it is.", "b": None, "c": None, "d": None, "e": "A x.y\\E b", "f": "Get v3.2 now. More."}
+
+
+def test_containment_by_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["ab", "bab", "a", "cabin", "bin", "no", "nob", "é", "xyz"]
+    texts = [(i, i % 3, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 25)))) for i in range(120)] + [(7, 1, None), (None, 0, "cabin bin no")]
+    texts += [texts[3], texts[3]]
+    phrases = [(200, ""), (201, None), (202, "bi"), (203, "n no")]
+    for i in range(60):
+        text = rng.choice([t for *_, t in texts if t and len(t) > 4])
+        a, b = sorted(rng.sample(range(len(text) + 1), 2))
+        phrases.append((i, text[a:b].strip()))
+    frame = spark.createDataFrame(phrases, "q int, want string")
+    got = contained(frame, "want", spark.createDataFrame(texts, "page long, ord int, text string").distinct(), ["page", "ord"], "text")
+    want = {(q, w, *t) for q, w in phrases for t in texts if w and t[2] is not None and w in t[2]}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
