@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,16 +37,40 @@ def page_frame(captures: DataFrame) -> DataFrame:
     return pages.withColumn("prices", price)
 
 
+def classed(pages: DataFrame, most: int = 8) -> DataFrame:
+    """pages with the class that selection gives them where they have none of their own; pages that it leaves out are 'other'."""
+    chosen = U.select_pages(pages.select("site_id", "url", F.col("page_ord").alias("ord")), most)
+    chosen = chosen.select(F.col("site_id").alias("c_site"), F.col("url").alias("c_url"), F.col("page_class").alias("c_class"))
+    rows = pages.join(chosen, (F.col("site_id") == F.col("c_site")) & (F.col("url") == F.col("c_url")), "left")
+    return rows.withColumn("page_class", F.coalesce("page_class", "c_class", F.lit("other"))).drop("c_site", "c_url", "c_class")
+
+
 def derive(frames: Frames) -> Frames:
-    """Add what follows from the pages: measures, claims, JSON-LD nodes."""
-    pages = frames["pages"]
-    out = dict(frames)
+    """Add what follows from the pages: their classes, measures, claims, JSON-LD nodes, the variants of their names."""
+    pages = classed(frames["pages"])
+    out = dict(frames, pages=pages)
     out["measured"] = measured(pages)
     out["claims"] = C.claim_index(pages.select("page_id", F.col("claim_text").alias("text")))
     out["jsonld_nodes"] = jsonld_nodes(pages.select("page_id", F.posexplode("jsonld.raw").alias("block", "raw")))
+    out["names"] = names_of(pages)
     return out
 
 
+def names_of(pages: DataFrame) -> DataFrame:
+    """(site_id, ord, surface, value): the names that pages state, title and structured ones first, in page order."""
+    title = F.get(T.title_segments(F.col("title")), 0)
+    mains = F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"])
+    stated = [("title", F.array(title)), ("h1", F.slice(mains, 1, 1)), ("footer", F.array(N.footer_name(F.col("raw_html"))))]
+
+    def cells_of(k: int) -> Column:
+        surface, values = stated[k]
+        return F.transform(values, lambda v: F.struct(F.lit(k).alias("k"), F.lit(surface).alias("surface"), v.alias("value")))
+
+    cells = F.concat(*map(cells_of, range(len(stated))))
+    rows = pages.select("site_id", "page_ord", F.inline(cells)).where("value <> ''")
+    return rows.select("site_id", (F.col("page_ord") * len(stated) + F.col("k")).alias("ord"), "surface", "value")
+
+
 def audit(spark: SparkSession, frames: Frames) -> dict[str, DataFrame]:
     """Run every check over the frames and merge the results; pages are extracted once if the caller persists them."""
     results = run_checks(derive(frames))

@@ -22,6 +22,12 @@ def important(frames: Frames) -> DataFrame:
     return frames["pages"].where(F.coalesce("page_class", F.lit("other")).isin(*U.IMPORTANT))
 
 
+def with_important(frames: Frames, rows: DataFrame) -> DataFrame:
+    """rows, one a site, and how many important pages there are: with none there is nothing to decide."""
+    count = important(frames).groupBy(F.col("site_id").alias("i_site")).agg(F.count("*").alias("important"))
+    return rows.join(count, F.col("site_id") == F.col("i_site"), "left").drop("i_site").withColumn("no_page", F.col("important").isNull())
+
+
 def urls_where(flag, most: int | None = None):
     """The urls of the rows where flag holds, in page order."""
     sorted_ = F.transform(F.array_sort(F.collect_list(F.when(flag, F.struct("page_ord", "url")))), lambda x: x["url"])
@@ -35,9 +41,9 @@ def robots_role(frames: Frames) -> DataFrame:
     blocked = R.decide_paths(pages, frames["robots"], tokens).where("blocked").select("site_id", "token", "path", "rule")
     hits = pages.join(blocked, ["site_id", "path"])
     rows = hits.groupBy("site_id").agg(F.array_sort(F.collect_set("url")).alias("urls"), F.max(F.col("path") == "/").alias("whole"), F.array_join(F.array_sort(F.collect_set(F.concat("token", F.lit(": "), "rule"))), "; ").alias("rules"))
-    rows = per_site(frames, rows).join(frames["sites"].select("site_id", "robots_status"), "site_id")
+    rows = with_important(frames, per_site(frames, rows).join(frames["sites"].select("site_id", "robots_status"), "site_id"))
     finding = F.col("urls").isNotNull() & (F.coalesce("robots_status", F.lit("ok")) != "not_found")
-    return gated(rows, "ACC-ROBOTS-ROLE", finding, severity=F.when(F.col("whole"), "critical").otherwise("high"), title="Answer-index crawlers are disallowed on important pages", evidence=F.concat(F.lit("robots.txt disallows "), F.col("rules")), urls=F.col("urls"), skip=F.col("robots_status") == "error")
+    return gated(rows, "ACC-ROBOTS-ROLE", finding, severity=F.when(F.col("whole"), "critical").otherwise("high"), title="Answer-index crawlers are disallowed on important pages", evidence=F.concat(F.lit("robots.txt disallows "), F.col("rules")), urls=F.col("urls"), skip=(F.col("robots_status") == "error") | F.col("no_page"))
 
 
 @check("ACC-ROBOTS-UNAVAILABLE")
@@ -70,7 +76,7 @@ def index_control(frames: Frames) -> DataFrame:
     agg = rows.groupBy("site_id").agg(F.count("*").alias("n"), urls_where(noindex).alias("a"), urls_where(snippet).alias("b"), F.max(noindex & (F.col("path") == "/")).alias("whole"), F.max(noindex & F.col("clean")).alias("tiered"))
     agg = per_site(frames, agg)
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    first = gated(agg, "ACC-INDEX-CONTROL", some("a"), severity=F.when(F.col("whole"), "critical").otherwise("high"), confidence=F.when(F.col("tiered"), "low").otherwise("high"), title="noindex on important pages", evidence=F.format_string("%d of %d important pages carry noindex", F.size("a"), F.col("n")), urls=F.col("a"))
+    first = gated(agg, "ACC-INDEX-CONTROL", some("a"), severity=F.when(F.col("whole"), "critical").otherwise("high"), confidence=F.when(F.col("tiered"), "low").otherwise("high"), title="noindex on important pages", evidence=F.format_string("%d of %d important pages carry noindex", F.size("a"), F.col("n")), urls=F.col("a"), skip=F.col("n").isNull())
     second = gated(agg, "ACC-INDEX-CONTROL", some("b"), severity="high", title="Snippets are switched off on important pages", evidence=F.format_string("%d of %d important pages carry nosnippet or max-snippet:0", F.size("b"), F.col("n")), urls=F.col("b"))
     both = first.where("gate = 'finding'").unionByName(second.where("gate = 'finding'"))
     return both.unionByName(first.join(both.select("site_id").distinct(), "site_id", "left_anti"))
@@ -78,8 +84,8 @@ def index_control(frames: Frames) -> DataFrame:
 
 @check("ACC-NOARCHIVE-COPILOT", "pages")
 def noarchive(frames: Frames) -> DataFrame:
-    agg = per_site(frames, page_directives(frames).groupBy("site_id").agg(urls_where(F.col("nocache")).alias("urls"), F.max(F.col("noarchive")).alias("hard")))
-    return gated(agg, "ACC-NOARCHIVE-COPILOT", F.coalesce(F.size("urls"), F.lit(0)) > 0, severity=F.when(F.col("hard"), "high").otherwise("medium"), title="Archive limits on important pages", evidence=F.format_string("%d pages carry noarchive or nocache", F.size("urls")), urls=F.col("urls"))
+    agg = with_important(frames, per_site(frames, page_directives(frames).groupBy("site_id").agg(urls_where(F.col("nocache")).alias("urls"), F.max(F.col("noarchive")).alias("hard"))))
+    return gated(agg, "ACC-NOARCHIVE-COPILOT", F.coalesce(F.size("urls"), F.lit(0)) > 0, severity=F.when(F.col("hard"), "high").otherwise("medium"), title="Archive limits on important pages", evidence=F.format_string("%d pages carry noarchive or nocache", F.size("urls")), urls=F.col("urls"), skip=F.col("no_page"))
 
 
 @check("ACC-CANONICAL-CONFLICT", "pages")

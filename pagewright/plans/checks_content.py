@@ -211,18 +211,31 @@ def corroboration_absent(frames: Frames) -> DataFrame:
     return gated(rows, "ENT-CORROBORATION-ABSENT", finding, title="Declared independent references do not resolve", evidence=F.format_string("%d declared independent links fail", F.col("independent_errors")), urls=F.col("urls"), skip=F.col("declared").isNull())
 
 
-def _prepared(check_id: str, note: str):
-    """A pass that a reviewer has to complete; without a name on any page there is nothing to judge."""
-
-    def run(frames: Frames) -> DataFrame:
-        named = frames["pages"].groupBy("site_id").agg(F.max(F.coalesce(F.col("title"), F.lit("")) != "").alias("named"))
-        return gated(per_site(frames, named), check_id, F.lit(False), evidence=note, skip=~F.coalesce("named", F.lit(False)), quality="semantic-judgment", open_=True)
-
-    check(check_id, "pages")(run)
-
-
-_prepared("ENT-NAME-INCONSISTENT", "name variants are listed")
-_prepared("ENT-AMBIGUOUS-NAME", "names and qualifiers are listed")
+def name_variants(names: DataFrame) -> DataFrame:
+    """(site_id, grp, variant, surfaces, mentions): the groups of a site's names, each by its first; names: (site_id, ord, surface, value)."""
+    rows = N.name_groups(names).groupBy("site_id", "grp").agg(F.min_by("value", "ord").alias("variant"), F.array_sort(F.collect_set("surface")).alias("surfaces"), F.count("*").alias("mentions"))
+    return rows.select("site_id", "grp", "variant", "surfaces", "mentions")
+
+
+@check("ENT-NAME-INCONSISTENT", "names")
+def name_inconsistent(frames: Frames) -> DataFrame:
+    """A pass with the table of variants, which a reviewer completes; without a name there is nothing to judge."""
+    row = F.concat("variant", F.lit(" ("), F.array_join("surfaces", ", "), F.lit(": "), F.col("mentions").cast("string"), F.lit(")"))
+    table = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("grp", row.alias("row")))), 1, 6), lambda x: x["row"])
+    agg = name_variants(frames["names"]).groupBy("site_id").agg(F.count("*").alias("variants"), F.array_join(table, "; ").alias("rows"))
+    observed = F.concat(F.col("variants").cast("string"), F.lit(" variants: "), F.col("rows"))
+    return gated(per_site(frames, agg), "ENT-NAME-INCONSISTENT", F.lit(False), skip=F.col("variants").isNull(), quality="semantic-judgment", open_=True, observed=observed)
+
+
+@check("ENT-AMBIGUOUS-NAME", "pages", "names")
+def ambiguous_name(frames: Frames) -> DataFrame:
+    """A pass that tells where the home page says what kind of thing the name stands for; a reviewer completes it."""
+    home = frames["pages"].where("page_class = 'homepage'").groupBy("site_id").agg(F.min_by(F.concat_ws(" ", "title", "meta_description"), "page_ord").alias("said"))
+    named = frames["names"].groupBy("site_id").agg(F.min_by("value", "ord").alias("name"), F.max(F.when(F.col("surface") == "h1", T.has_qualifier(F.col("value")))).alias("in_h1"))
+    agg = named.join(home, "site_id", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("string")
+    observed = F.concat(F.lit("name "), "name", F.lit("; qualified in title: "), flag(T.has_qualifier(F.col("said"))), F.lit(", in h1: "), flag(F.col("in_h1")))
+    return gated(per_site(frames, agg), "ENT-AMBIGUOUS-NAME", F.lit(False), skip=F.col("name").isNull(), quality="semantic-judgment", open_=True, observed=observed)
 
 
 @check("FRS-LASTMOD-UNIFORM", "sitemap_entries")

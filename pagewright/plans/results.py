@@ -29,8 +29,10 @@ def lit_or_column(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def gated(rows: DataFrame, check_id: str, finding: Column, *, severity="medium", confidence="high", title="", evidence="", urls: Column | None = None, skip: Column | None = None, quality="direct-measurement", open_: bool | Column = False) -> DataFrame:
-    """One result for each row: not_evaluated where skip holds, else finding or pass. Critical without high confidence is high."""
+def gated(rows: DataFrame, check_id: str, finding: Column, *, severity="medium", confidence="high", title="", evidence="", urls: Column | None = None, skip: Column | None = None, quality="direct-measurement", open_: bool | Column = False, observed: Column | None = None) -> DataFrame:
+    """One result for each row: not_evaluated where skip holds, else finding or pass. Critical without high confidence is high.
+
+    observed: what a pass has looked at, where a reviewer completes it."""
     gate = F.when(F.coalesce(finding, F.lit(False)), "finding").otherwise("pass")
     gate = F.when(F.coalesce(skip, F.lit(False)), "not_evaluated").otherwise(gate) if skip is not None else gate
     found = gate == "finding"
@@ -40,7 +42,7 @@ def gated(rows: DataFrame, check_id: str, finding: Column, *, severity="medium",
     return rows.select(
         "site_id", F.lit(check_id).alias("check_id"), gate.alias("gate"), F.when(found, urls if urls is not None else F.array().cast("array<string>")).alias("urls"),
         F.when(found, sev).otherwise(none).alias("severity"), F.when(found, conf).otherwise(none).alias("confidence"), F.when(found, lit_or_column(title)).otherwise(none).alias("title"),
-        F.when(found, lit_or_column(evidence)).otherwise(none).alias("evidence"), lit_or_column(quality).alias("evidence_quality"), lit_or_column(open_).alias("requires_completion"),
+        F.when(found, lit_or_column(evidence)).otherwise(F.when(gate == "pass", observed) if observed is not None else none).alias("evidence"), lit_or_column(quality).alias("evidence_quality"), lit_or_column(open_).alias("requires_completion"),
     )
 
 
