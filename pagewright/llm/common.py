@@ -8,8 +8,12 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from .words import give_back
 
 #: One separator run between words: space and the ASCII controls 9 to 13.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -67,7 +71,10 @@ def laid_down(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and broadcasts of plans that are done with: it does so when the driver's garbage goes."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    give_back()
+    jvm = spark.sparkContext._jvm
+    for _ in range(2):  # objects that Python has let go of are let go of in the JVM with the next call
+        jvm.System.gc()
 
 
 def in_arrow(df: DataFrame, emit, schema) -> DataFrame:
@@ -76,7 +83,18 @@ def in_arrow(df: DataFrame, emit, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES_KEY, None) is None:
         conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
-    return df.mapInArrow(emit, schema)
+    names = df.columns
+    if not any(c in name for name in names for c in ".`"):
+        return df.mapInArrow(emit, schema)
+    # mapInArrow takes such names for nested fields; they are put aside and back
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kinds)])
+
+    def renamed(batches):
+        for out in emit(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=plain.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*kinds.names)
 
 
 def words_of(text: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, free_names, in_arrow, quoted
+from .common import cut, free_names, in_arrow, laid_down, quoted, release
 from .components import components
 from .words import Words, mix, rolling, slices, split_words
 
@@ -251,10 +251,9 @@ def star_links(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
     return sent.sortWithinPartitions("bucket").transform(in_arrow, meet, "bucket long, node long, centre long")
 
 
-def set_carriers(docs: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(text) of a document for each set that shares a bucket with another, laid down once in the shared folder."""
-    needed = links.select("node").unionAll(links.select(F.col("centre").alias("node"))).distinct()
-    ids = nodes.groupBy("node").agg(F.min("doc_id").alias("carrier")).join(needed, "node", "left_semi").select("carrier")
+def set_carriers(docs: DataFrame, known: DataFrame, needed: DataFrame) -> DataFrame:
+    """(text) of a document for each of the needed sets, a row for each; known: (doc_id, node)."""
+    ids = known.join(needed, F.col("node") == F.col("needed"), "left_semi").groupBy("node").agg(F.min("doc_id").alias("carrier")).select("carrier")
     return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("carrier"), "left_semi").select("text")
 
 
@@ -274,10 +273,10 @@ def possible(pairs: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
     return rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").transform(in_arrow, emit, "a long, b long")
 
 
-def grouped_spokes(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+def grouped_spokes(docs: DataFrame, known: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(hub, salt, role, node, tokens) for pairs (a, b): the set of every b, once for some SPOKES of its partners, and before them by
     its role, and the sets of the partners a. A hub is spread over tasks by its salts."""
-    pairs = cut(pairs.select("a", "b").distinct())
+    pairs = laid_down(pairs.select("a", "b").distinct())
     hubs = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("salts"))
     spokes = pairs.join(hubs, F.col("b") == F.col("hub")).select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     centres = hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
@@ -291,7 +290,7 @@ def grouped_spokes(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield _batch(["set_node", "tokens"], set_names(tokens, ends), lists)
 
-    sets = texts.transform(in_arrow, emit, "set_node long, tokens array<long>").join(needed, F.col("set_node") == F.col("needed"), "left_semi")
+    sets = set_carriers(docs, known, needed).transform(in_arrow, emit, "set_node long, tokens array<long>").join(needed, F.col("set_node") == F.col("needed"), "left_semi")
     rows = wanted.join(sets, F.col("node") == F.col("set_node")).select("hub", "salt", "role", "node", "tokens")
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
@@ -322,7 +321,7 @@ def found_in(tokens: np.ndarray, there: np.ndarray) -> np.ndarray:
     return there[np.minimum(np.searchsorted(there, tokens), len(there) - 1)] == tokens
 
 
-def verified(texts: DataFrame, pairs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
+def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
     """(a, b, ok) of the pairs (a, b): the whole sets, made from the texts that hold them, are compared."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,10 +332,10 @@ def verified(texts: DataFrame, pairs: DataFrame, shingle: int, plan: Plan) -> Da
                 ok.append(100 * common >= plan.percent * (len(centre) + len(tokens) - common))
             yield _batch(["a", "b", "ok"], np.array([m[1] for m in met], np.int64), np.array([m[0] for m in met], np.int64), pa.array(ok, pa.bool_()))
 
-    return cut(grouped_spokes(texts, pairs, shingle).transform(in_arrow, compare, "a long, b long, ok boolean").distinct())
+    return cut(grouped_spokes(docs, known, pairs, shingle).transform(in_arrow, compare, "a long, b long, ok boolean").distinct())
 
 
-def differences(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+def differences(docs: DataFrame, known: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(b, a, delta) of the pairs (a, b): the shingles that just one of the two sets has, sorted."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +345,7 @@ def differences(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(deltas) if deltas else np.zeros(0, np.uint64)).view(np.int64)))
             yield _batch(["b", "a", "delta"], np.array([m[0] for m in met], np.int64), np.array([m[1] for m in met], np.int64), lists)
 
-    return grouped_spokes(texts, pairs, shingle).transform(in_arrow, compare, "b long, a long, delta array<long>").dropDuplicates(["a", "b"])
+    return grouped_spokes(docs, known, pairs, shingle).transform(in_arrow, compare, "b long, a long, delta array<long>").dropDuplicates(["a", "b"])
 
 
 def dealt(groups: DataFrame, width: str = "0") -> DataFrame:
@@ -487,13 +486,16 @@ def set_components(docs: DataFrame, nodes: DataFrame, shingle: int, plan: Plan,
     """(node, component) of the sets that are linked with any; nodes: the rows of document_sets."""
     hot = hot or HOT
     known = nodes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    facts = known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "spare_own", "spare_next")])
-    links = cut(star_links(docs, shingle, plan))
-    texts = cut(set_carriers(docs, links, known))
+    links = laid_down(star_links(docs, shingle, plan))
+    release(docs.sparkSession)
+    in_buckets = links.select(F.col("node").alias("l")).unionAll(links.select("centre")).distinct()
+    met = known.join(in_buckets, F.col("node") == F.col("l"), "left_semi")
+    facts = laid_down(met.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "spare_own", "spare_next")]))
     told = links.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    tried = verified(texts, possible(told, facts.select("node", "n", "sketch"), plan), shingle, plan)
+    tried = verified(docs, known.select("doc_id", "node"), possible(told, facts.select("node", "n", "sketch"), plan), shingle, plan)
     stars = tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
     member = cut(components(stars))
+    release(docs.sparkSession)
 
     linked = stars.select(F.col("u").alias("la"), F.col("v").alias("lb"))
     broken = links.join(linked, (F.col("node") == F.col("la")) & (F.col("centre") == F.col("lb")), "left_anti").select(F.col("bucket").alias("open")).distinct()
@@ -508,15 +510,16 @@ def set_components(docs: DataFrame, nodes: DataFrame, shingle: int, plan: Plan,
     rows = rows.join(hots, (F.col("node") == F.col("h")) & (F.col("band") == F.col("hb")), "left")
     rows = rows.where((F.col("members") <= hot) | (F.col("hots") > F.col("spare"))).select("bucket", "node")
     # buckets with the same least set are one group: every pair of a bucket is a pair of its group
-    groups = cut(open_rows(rows, member).select("centre", "node", "comp").distinct())
-    some = cut(undecided(groups, facts, plan))
+    groups = laid_down(open_rows(rows, member).select("centre", "node", "comp").distinct())
+    some = laid_down(undecided(groups, facts, plan))
     if some.isEmpty():
         return member
-    apart = differences(texts, some.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), shingle)
+    release(docs.sparkSession)
+    apart = differences(docs, known.select("doc_id", "node"), some.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), shingle)
     apart = apart.select("b", "a", "delta").unionAll(some.where("node = centre").select("centre", "node", F.array().cast("array<long>")))
     held = apart.join(groups, (F.col("b") == F.col("centre")) & (F.col("a") == F.col("node"))).select("centre", "node", "comp", "delta")
     held = held.join(facts.select(F.col("node").alias("f"), "n"), F.col("node") == F.col("f")).drop("f")
-    extra = cut(settled(cut(held), plan))
+    extra = cut(settled(laid_down(held), plan))
     if extra.isEmpty():
         return member
     return cut(components(member.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(extra)))
@@ -542,7 +545,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, node, class) of every row; node and class, its set and linked sets, are null where it takes part in no link."""
     plan = Plan(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = cut(document_sets(docs, shingle, plan))
+    nodes = laid_down(document_sets(docs, shingle, plan))
     member = set_components(docs, nodes, shingle, plan).select(F.col("node").alias("m"), "component")
     rows = nodes.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     classed = rows.join(member, F.col("node") == F.col("m"), "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
@@ -571,7 +574,8 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, percent:
     share a doc_id and a component one stays, and of those with no words one for each text. Columns may have any names."""
     own = quoted(columns)
     new = free_names(columns, "gone", "id", "set", "class", "own_set", "turn")
-    found = cut(classes(docs, shingle, percent))
+    found = laid_down(classes(docs, shingle, percent))
+    release(docs.sparkSession)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(new["gone"])).distinct()
         return docs.select(*own).join(gone, F.col("doc_id") == F.col(new["gone"]), "left_anti")
