@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, label_of, labelled_sample
+from .common import cut, held_out, in_arrow, label_of, labelled_sample
 from .words import rolling, slices, split_words
 
 HELD_OUT = (4, 2)
@@ -174,9 +174,12 @@ def _emit_statistics(names: list[str]):
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_rows: int = 20000, skip: tuple[int, int] = HELD_OUT, **how) -> Trees:
     """Learn from at most sample_rows labelled documents, from none whose id's crc32 is held out."""
     sample = labelled_sample(docs, label_of(labels, column, *skip), sample_rows).select("doc_id", "label", "text")
-    rows = cut(sample.mapInArrow(_emit_statistics(["doc_id", "label"]), "doc_id long, label double, x array<double>")).orderBy("doc_id", "x").collect()
-    x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
-    return grow(x, np.array([r["label"] for r in rows]), **how)
+    rows = cut(sample.transform(in_arrow, _emit_statistics(["doc_id", "label"]), "doc_id long, label double, x array<double>")).toArrow().combine_chunks()
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, len(FEATURES)) if rows.num_rows else np.zeros((0, len(FEATURES)))
+    y, ids = rows.column("label").to_numpy(), rows.column("doc_id").to_numpy()
+    # at most sample_rows rows, put in order here: sums must not depend on the order in which tasks end
+    order = np.lexsort((*x.T[::-1], ids)) if len(y) else np.zeros(0, np.int64)
+    return grow(x[order], y[order], **how)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, least: float = 0.7, **how) -> DataFrame:
@@ -190,5 +193,5 @@ def quality_model(docs: DataFrame, labels: DataFrame, least: float = 0.7, **how)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select("doc_id", "text")
-    got = rows.mapInArrow(emit, rows.select("doc_id").schema.add("score", "double"))
+    got = rows.transform(in_arrow, emit, rows.select("doc_id").schema.add("score", "double"))
     return got.select("doc_id", held_out(F.col("doc_id"), *HELD_OUT).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, label_of, labelled_sample
+from .common import cut, held_out, in_arrow, label_of, labelled_sample, quoted
 from .words import Words, slices, split_words
 
 BUCKETS = 1 << 18
@@ -85,7 +86,7 @@ class Machine:
         terms = self.lookup[terms]
         return sigmoid(self.margins(docs[terms >= 0], terms[terms >= 0], len(words.offsets) - 1))
 
-    @property
+    @cached_property
     def chosen(self) -> np.ndarray:
         return (self.lookup[: BUCKETS * (len(LEVELS) + 1)].reshape(-1, BUCKETS) >= 0).any(axis=0)
 
@@ -94,12 +95,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[tuple[list[int], float]], chosen: list[int], factors: int = 6, epochs: int = 25, rate: float = 0.15, decay: float = 1e-4, lean: float = 1.5, seed: int = 7) -> Machine:
-    """Adagrad over mini-batches of the sample; rows: (chosen terms of a document, label). Label 1 weighs `lean` times as much."""
+def fit(terms: np.ndarray, sizes: np.ndarray, y: np.ndarray, chosen: list[int], factors: int = 6, epochs: int = 25, rate: float = 0.15, decay: float = 1e-4, lean: float = 1.5, seed: int = 7) -> Machine:
+    """Adagrad over mini-batches of the sample: the chosen terms of its documents, one after another, how many each has, and its label.
+    Label 1 weighs `lean` times as much."""
     lookup = np.full(SPACE, -1, np.int32)
     lookup[chosen] = np.arange(len(chosen))
     rng = np.random.default_rng(seed)
-    y = np.array([r[1] for r in rows])
     share = float(y.mean()) if len(y) else 0.0
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors))
     if not len(chosen) or share in (0.0, 1.0):
@@ -107,12 +108,11 @@ def fit(rows: list[tuple[list[int], float]], chosen: list[int], factors: int = 6
         return Machine(lookup, w, v * 0, float(np.log(flat / (1 - flat))))
     bias = float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(len(w), 1e-6), np.full(v.shape, 1e-6), 1e-6
-    sizes = np.array([len(r[0]) for r in rows])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    terms = lookup[np.array([t for r in rows for t in r[0]], np.int64)]
+    terms = lookup[terms]
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for part in np.array_split(order, max(1, len(rows) // 256)):
+        order = rng.permutation(len(y))
+        for part in np.array_split(order, max(1, len(y) // 256)):
             at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part]) if len(part) else np.zeros(0, np.int64)
             docs, t = np.repeat(np.arange(len(part)), sizes[part]), terms[at]
             sums = np.zeros((len(part), factors))
@@ -146,24 +146,29 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("label"), lists], names=["label", "terms"])
 
-    sample = cut(labelled_sample(docs, label_of(labels, column, *skip), sample_rows).mapInArrow(emit, "label double, terms array<int>"))
+    sample = cut(labelled_sample(docs, label_of(labels, column, *skip), sample_rows).transform(in_arrow, emit, "label double, terms array<int>"))
     total, ones = sample.agg(F.count("*"), F.sum("label")).first()
     if not total:
-        return fit([], [])
+        return fit(*[np.zeros(0)] * 3, [])
     by_term = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
     share = ones / total
     # squared distance from the expected count in standard deviations, with a prior of one document
     lift = F.pow(F.col("k") - share * F.col("n"), 2) / (F.col("n") * share * (1 - share) + 1)
     chosen = [r[0] for r in by_term.where(F.col("n") >= least_docs).orderBy(lift.desc(), "term").limit(terms).select("term").collect()]
     picked = F.array(*map(F.lit, sorted(chosen))) if chosen else F.array().cast("array<int>")
-    rows = sample.select(F.array_intersect("terms", picked).alias("terms"), "label").orderBy(F.xxhash64("terms", "label")).collect()
-    return fit([(r[0], r[1]) for r in rows], chosen)
+    # at most sample_rows rows, put in order here: the fit must not depend on the order in which tasks end
+    own = F.array_intersect("terms", picked)
+    rows = sample.select(F.xxhash64(own, "label").alias("key"), own.alias("terms"), "label").toArrow().combine_chunks()
+    rows = rows.take(np.argsort(rows.column("key").to_numpy(), kind="stable"))
+    lists = rows.column("terms").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    return fit(lists.flatten().to_numpy(), sizes, rows.column("label").to_numpy(), chosen)
 
 
 def score_column(docs: DataFrame, machine: Machine, columns: list[str], name: str = "score") -> DataFrame:
     """The columns and the score of every row; columns hold text."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = docs.select(*columns).schema.add(name, "double")
+    schema = docs.select(*quoted(columns)).schema.add(name, "double")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +176,7 @@ def score_column(docs: DataFrame, machine: Machine, columns: list[str], name: st
                 got = model.value.score(split_words(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*columns, name])
 
-    return docs.select(*columns).mapInArrow(emit, schema)
+    return docs.select(*quoted(columns)).transform(in_arrow, emit, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.7, **how) -> DataFrame:
