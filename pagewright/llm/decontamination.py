@@ -5,8 +5,9 @@ parts of at most `rank` passages, and each part gets a randomised SVD of its own
 partial products: the latent space of a part holds its passages whole, so products in it are those of the full matrix. Every
 document is folded in as overlapping windows over its whole text. Windows that hold a high enough share of a passage's weight are
 candidates, and the longest common subsequence of words decides: nearly verbatim passages are leaks; looser ones only when the
-latent cosine is high enough and the passage's answer terms, its rarest, are there too. Only the index, bounded by the items of a
-block, is sent to the executors; a larger benchmark is taken in blocks of items. Documents are neither shuffled nor collected.
+latent cosine is high enough and the passage's answer terms, its rarest, are there too. Only the index of
+a block of at most about `block_passages` passages is gathered and sent to the executors, however long items are; a larger benchmark
+is taken in blocks, each of which reads the corpus. Documents are neither shuffled nor collected.
 
 Defined cases: null and empty texts hold no leak, null and empty items leak nowhere, items of under `least_words` words leak
 where all their words stand in a row, as verbatim with a cosine of 1; repeated rows are reported alike; empty tables give an empty result; other columns are not read.
@@ -17,12 +18,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow, laid_down, quoted
 from .words import Words, rolling, slices, split_words
 
 STRIP = ".,;:!?\"'()[]{}#*$%&|<>-_~`"
@@ -42,7 +45,7 @@ class Settings:
     paraphrase: float = 0.5
     answers: int = 6
     answer_share: float = 0.6
-    block_items: int = 1024
+    block_passages: int = 1024
 
 
 @dataclass
@@ -112,7 +115,7 @@ def document_frequency(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarr
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
 
-    got = docs.select("text").mapInArrow(emit, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    got = docs.select("text").transform(in_arrow, emit, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(terms) + 1, np.int64)
     for r in got:
         out[r["term"]] = r["n"]
@@ -140,7 +143,7 @@ def randomised_svd(rows: DataFrame, n_terms: int, idf: np.ndarray, rank: int, ex
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         out = np.zeros_like(q)
-        for r in rows.mapInArrow(emit, "part binary").toLocalIterator():
+        for r in rows.transform(in_arrow, emit, "part binary").toLocalIterator():
             out += np.frombuffer(r["part"]).reshape(q.shape)
         return out
 
@@ -154,23 +157,39 @@ def randomised_svd(rows: DataFrame, n_terms: int, idf: np.ndarray, rank: int, ex
     return q @ vectors[:, keep]
 
 
-def build_index(docs: DataFrame, items: DataFrame, s: Settings) -> Index | None:
-    """The index of one block of items; items: (item_id, text)."""
-    rows = [(r["item_id"], r["text"]) for r in items.where(F.col("text").isNotNull()).orderBy("item_id", "text").collect()]
-    words = split_words(pa.array([t for _, t in rows], pa.string()))
-    names = folded(words)
-    terms = {w: i for i, w in enumerate(sorted({w for w in names if w}))}
-    codes = term_codes(words, terms)
+def benchmark_passages(benchmark: DataFrame, s: Settings) -> DataFrame:
+    """(item_id, seq, words) of all passages; an item of under least_words words is one row of seq -1."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = split_words(part.column("text"))
+                names, rows = folded(words), []
+                for i, item in enumerate(part.column("item_id").to_pylist()):
+                    own = [names[c] for c in words.codes[words.offsets[i] : words.offsets[i + 1]].tolist() if names[c]]
+                    if len(own) >= s.least_words:
+                        rows += [(item, k, [own[j] for j in at]) for k, at in enumerate(cut_passages(np.arange(len(own)), s.passage))]
+                    elif own:
+                        rows.append((item, -1, own))
+                cells = list(zip(*rows, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int32()), pa.array(cells[2], pa.list_(pa.string()))], names=["item_id", "seq", "words"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    return laid_down(items.transform(in_arrow, emit, "item_id long, seq int, words array<string>"))
+
+
+def build_index(docs: DataFrame, passages: DataFrame, s: Settings) -> Index | None:
+    """The index of one block of passages: (item_id, seq, words)."""
+    rows = passages.orderBy("item_id", "seq", "words").collect()
+    terms = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
     cut_up, owners, short = [], [], {}
-    for i, (item, _) in enumerate(rows):
-        own = codes[words.offsets[i] : words.offsets[i + 1]]
-        own = own[own >= 0]
-        if len(own) >= s.least_words:
-            for p in cut_passages(own, s.passage):
-                cut_up.append(p)
-                owners.append(item)
-        elif len(own):
-            short.setdefault(tuple(own.tolist()), []).append(item)
+    for r in rows:
+        codes = np.array([terms[w] for w in r["words"]], np.int64)
+        if r["seq"] < 0:
+            short.setdefault(tuple(codes.tolist()), []).append(r["item_id"])
+        else:
+            cut_up.append(codes)
+            owners.append(r["item_id"])
     if not cut_up:
         return Index(terms, [], short) if short else None
     held, total = document_frequency(docs, terms)
@@ -282,48 +301,48 @@ def search(index: Index, words: Words, s: Settings) -> list[tuple[int, int, str,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, kind, common_words, passage_words, cosine, start_word: a row for each document and item that it leaks."""
-    parts = leaks(docs.select("doc_id", "text"), benchmark, settings)
-    out = None
-    for part in parts:
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def item_blocks(benchmark: DataFrame, settings: Settings) -> list[DataFrame]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, math.ceil(items.count() / settings.block_items))
-    return [items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) for b in range(blocks)]
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> list[DataFrame]:
-    schema = docs.select("doc_id").schema
-    for name, kind in (("item_id", "long"), ("kind", "string"), ("common_words", "integer"), ("passage_words", "integer"), ("cosine", "double"), ("start_word", "long")):
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    made = (("item_id", "long"), ("kind", "string"), ("common_words", "integer"), ("passage_words", "integer"), ("cosine", "double"), ("start_word", "long"))
+    schema = rows.select("doc_id", "text_key").schema
+    for name, kind in made:
         schema = schema.add(name, kind)
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
     out = []
-    for items in item_blocks(benchmark, settings):
-        index = build_index(docs, items, settings)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for block, passages in enumerate(passage_blocks(benchmark, settings)):
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, passages, settings))
 
         def emit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):
                     found = sorted(search(shared.value, split_words(part.column("text")), settings), key=lambda x: (x[0], str(x[1]))) if shared.value is not None else []
-                    ids = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
+                    at = pa.array([f[0] for f in found], pa.int64())
                     cells = [pa.array([f[k + 1] for f in found], t) for k, t in enumerate(kinds)]
-                    yield pa.RecordBatch.from_arrays([ids, *cells], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("text_key").take(at), *cells], names=schema.names)
 
-        out.append(docs.mapInArrow(emit, schema))
-    return out
+        out.append(rows.transform(in_arrow, emit, schema).withColumn("block", F.lit(block)))
+    columns = [name for name, _ in made]
+    if len(out) == 1:
+        return out[0].select("doc_id", *columns)
+    # an item's passages may lie in several blocks: the best of them counts, once for each repeated row
+    best = F.struct((F.col("common_words") / F.col("passage_words")).alias("share"), *columns[1:])
+    keys = ["doc_id", "text_key", "item_id"]
+    each = reduce(DataFrame.unionAll, out).groupBy(*keys, "block").agg(F.max(best).alias("best"), F.count("*").alias("times"))
+    merged = each.groupBy(*keys).agg(F.max("best").alias("best"), F.max("times").alias("times")).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return merged.select("doc_id", "item_id", *[F.col(f"best.{c}").alias(c) for c in columns[1:]])
+
+
+def passage_blocks(benchmark: DataFrame, settings: Settings) -> list[DataFrame]:
+    passages = benchmark_passages(benchmark, settings)
+    blocks = max(1, math.ceil(passages.count() / settings.block_passages))
+    return [passages.where(F.pmod(F.xxhash64("item_id", "seq", "words"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, columns: list[str], settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that leak no item, with the given columns, decided where they stand: no join, no shuffle."""
-    schema = docs.select(*columns).schema
-    out = docs.select(*columns)
-    for items in item_blocks(benchmark, settings):
-        index = build_index(docs, items, settings)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    schema = docs.select(*quoted(columns)).schema
+    out = docs.select(*quoted(columns))
+    for passages in passage_blocks(benchmark, settings):
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, passages, settings))
 
         def emit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -333,5 +352,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, columns: list[str], settings: S
                         keep[[f[0] for f in search(shared.value, split_words(part.column("text")), settings)]] = False
                     yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(emit, schema)
+        out = out.transform(in_arrow, emit, schema)
     return out

@@ -239,11 +239,48 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(frame, bench).collect()}
     assert {d for d, _ in got} == leaked and all((i, i % 30) in got for i in leaked)
-    small = decontamination.Settings(block_items=8)
+    small = decontamination.Settings(block_passages=8)
     assert {r["doc_id"] for r in decontamination.clean(frame, bench, frame.columns, small).collect()} == {d for d, _ in docs} - leaked
     assert decontamination.decontaminate(frame.limit(0), bench).count() == 0 and decontamination.decontaminate(frame, bench.limit(0)).count() == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_recall_against_every_window(spark, block):
+    """Recall of what a search of every window of every document by common subsequences alone finds nearly verbatim."""
+    rng = random.Random(31)
+    often = list(itertools.accumulate(1 / (i + 2) for i in range(900)))
+    words = lambda n: rng.choices([f"t{i}" for i in range(900)], cum_weights=often, k=n)
+    items = [(i, words(rng.randrange(8, 100))) for i in range(40)]
+    docs = []
+    for i in range(60):
+        body, item = words(rng.randrange(5, 120)), rng.choice(items)[1]
+        part = item[: rng.randrange(8, len(item) + 1)]
+        noise = rng.choice([0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.35])
+        body[len(body) // 2 : len(body) // 2] = [w if rng.random() > noise else words(1)[0] for w in part]
+        docs.append((i, body))
+    s = decontamination.Settings(block_passages=block)
+    want = set()
+    for d, body in docs:
+        for i, item in items:
+            for passage in decontamination.cut_passages(np.array(item), s.passage):
+                if any(lcs(list(passage), body[at : at + s.window]) >= s.verbatim * len(passage) for at in range(0, max(1, len(body) - s.window + 1))):
+                    want.add((d, i))
+    frame = spark.createDataFrame([(d, " ".join(b)) for d, b in docs] + [(99, " ".join(items[0][1]))] * 2, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(frame, bench, s).collect())
+    assert len(want) > 30 and len(want & set(got)) >= 0.9 * len(want)
+    assert got[99, 0] == 2 and max(n for (d, _), n in got.items() if d != 99) == 1  # repeated rows are reported alike
+
+
 def test_verbatim_items_of_a_full_block_are_found(spark):
     rng = random.Random(12)
     words = [f"term{i}" for i in range(3000)]
