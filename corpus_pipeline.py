@@ -6,13 +6,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import decontamination, jaccard_join, mixing, secret_scan, toxicity
-from pagewright.llm.common import shared_dir
+from pagewright.llm.common import free_names, quoted, release, scratch
 from pagewright.llm.queries import table
 
 #: Score from which a document is toxic.
@@ -21,7 +19,9 @@ TOXIC = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_column(docs, machine, docs.columns, "__score").where(F.col("__score") < TOXIC).drop("__score")
+    release(spark)
+    score = free_names(docs.columns, "score")["score"]
+    return toxicity.score_column(docs, machine, docs.columns, score).where(F.col(score) < TOXIC).select(*quoted(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
