@@ -53,7 +53,17 @@ def site_overview(blocks: DataFrame) -> DataFrame:
     rows = per_line.groupBy("site_id").agg(F.sum("times").alias("blocks"), F.sum(chars).alias("chars"), F.count_if(F.col("on_pages") > 1).alias("repeated_blocks"), F.coalesce(F.sum(F.when(F.col("on_pages") > 1, chars)), F.lit(0)).alias("repeated_chars"))
     pages = blocks.groupBy("site_id").agg(F.count_distinct("page_id").alias("pages"))
     rows = rows.join(pages, "site_id").withColumn("repeated_share", F.round(F.col("repeated_chars") / F.greatest(F.col("chars"), F.lit(1)), 4))
-    return rows.withColumn("rank", F.rank().over(Window.orderBy(F.col("repeated_share").desc(), "site_id"))).select("site_id", "pages", "blocks", "chars", "repeated_blocks", "repeated_share", "rank")
+    rows = rows.select("site_id", "pages", "blocks", "chars", "repeated_blocks", "repeated_share")
+    # instead of sorting all sites in one task, count the sites of every share (four decimals leave 10001 of them) and, within it, of
+    # every beginning of a name, and sum what comes before
+    share, head = F.col("repeated_share"), F.substring("site_id", 1, 3)
+    earlier = lambda key, order: F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = rows.groupBy(share.alias("share"), head.alias("head")).agg(F.count("*").alias("n"))
+    shares = heads.groupBy("share").agg(F.sum("n").alias("n")).select("share", earlier(F.lit(0), F.desc("share")).alias("before"))
+    places = heads.select("share", "head", earlier("share", "head").alias("inside")).join(shares, "share")
+    ranked = rows.join(places, (share == F.col("share")) & (head == F.col("head")))
+    turn = F.row_number().over(Window.partitionBy("share", "head").orderBy("site_id"))
+    return ranked.select("site_id", "pages", "blocks", "chars", "repeated_blocks", "repeated_share", (F.col("before") + F.col("inside") + turn).cast("int").alias("rank"))
 
 
 def heading_runs(headings: DataFrame, keep: int = 6) -> DataFrame:
