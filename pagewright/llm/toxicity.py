@@ -135,8 +135,11 @@ def fit(terms: np.ndarray, sizes: np.ndarray, y: np.ndarray, chosen: list[int],
     return Machine(lookup, w, v, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows: int = 20000, terms: int = 1000, least_docs: int = 5, skip: tuple[int, int] = HELD_OUT) -> Machine:
-    """Learn from at most sample_rows labelled documents, from none whose id's crc32 is held out."""
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows: int = 20000, terms: int = 1000, least_docs: int = 5, least_lift: float = 10.0, skip: tuple[int, int] = HELD_OUT) -> Machine:
+    """Learn from at most sample_rows labelled documents, from none whose id's crc32 is held out.
+
+    Of the terms that at least least_docs of them hold, those count whose share of label 1 is off by least_lift or more, in squared
+    standard deviations; others add noise, most where labels are few."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows
     share = ones / total
     # squared distance from the expected count in standard deviations, with a prior of one document
     lift = F.pow(F.col("k") - share * F.col("n"), 2) / (F.col("n") * share * (1 - share) + 1)
-    chosen = [r[0] for r in by_term.where(F.col("n") >= least_docs).orderBy(lift.desc(), "term").limit(terms).select("term").collect()]
+    chosen = [r[0] for r in by_term.where((F.col("n") >= least_docs) & (lift >= least_lift)).orderBy(lift.desc(), "term").limit(terms).select("term").collect()]
     picked = F.array(*map(F.lit, sorted(chosen))) if chosen else F.array().cast("array<int>")
     # at most sample_rows rows, put in order here: the fit must not depend on the order in which tasks end
     own = F.array_intersect("terms", picked)
