@@ -82,35 +82,75 @@ def heading_runs(headings: DataFrame, keep: int = 6) -> DataFrame:
     return kept.select("page_id", F.row_number().over(page).alias("ord"), "level", F.when(mark, text).otherwise(F.col("text")).alias("text"), F.when(~mark, F.col("id")).alias("id"))
 
 
+def _greedy(items: Column, start: Column, budget: int, most: int) -> Column:
+    """(spent, kept) of the items, taken in their order, that fit the budget, at most `most`; what does not fit is passed over."""
+    state = F.struct(start.cast("long").alias("spent"), F.filter(items, lambda x: F.lit(False)).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (F.size(acc["kept"]) < most) & (acc["spent"] + x["chars"] <= budget)
+        return F.when(fits, F.struct((acc["spent"] + x["chars"]).alias("spent"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+
+    return F.aggregate(items, state, step)
+
+
+def _by_page(items: Column, start: Column, budget: int) -> Column:
+    """The items, in their order, that fit the budget; the first of a page that does not ends that page."""
+    state = F.struct(start.cast("long").alias("spent"), F.lit(-1).cast("long").alias("ended"), F.filter(items, lambda x: F.lit(False)).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        taken = F.struct((acc["spent"] + x["chars"]).alias("spent"), acc["ended"].alias("ended"), F.array_append(acc["kept"], x).alias("kept"))
+        full = F.struct(acc["spent"].alias("spent"), x["page_ord"].cast("long").alias("ended"), acc["kept"].alias("kept"))
+        return F.when(acc["ended"] == x["page_ord"], acc).when(acc["spent"] + x["chars"] <= budget, taken).otherwise(full)
+
+    return F.aggregate(items, state, step)["kept"]
+
+
 def anchorable_runs(blocks: DataFrame, per_page: int = 10, least: int = 12, longest: int = 600, budget: int = 9000, most_shared: int = 14) -> DataFrame:
     """(site_id, page_id, text, chars, pages, ord): runs that a quotation can be cut from, under one budget of characters a site.
 
     Runs on several pages come first, once, with page_id null: by pages and length, those that still fit a third of the budget, up
-    to most_shared. Then each page's own runs, rarest and longest first, until one does not fit. The budget is spent in order, so a
-    site is folded by one grouped function; blocks: (site_id, page_id, page_ord, block_ord, text). Equal ranks go by text."""
-
-    def fold_site(site: pd.DataFrame) -> pd.DataFrame:
-        site = site.sort_values(["page_ord", "block_ord"])
-        on = site.groupby("text")["page_id"].nunique()
-        rows, spent, told = [], 0, set()
-        for text in sorted((t for t in on.index if on[t] > 1), key=lambda t: (-on[t], -len(t), t)):
-            if len(told) < most_shared and spent + len(text) <= budget // 3:
-                told.add(text)
-                rows.append((None, text, int(on[text])))
-                spent += len(text)
-        for _, page in site.groupby("page_ord", sort=True):
-            own = [t for t in dict.fromkeys(page["text"]) if t not in told]
-            for text in sorted(own, key=lambda t: (on[t], -len(t)))[:per_page]:
-                if spent + len(text) > budget:
-                    break
-                rows.append((page["page_id"].iloc[0], text, int(on[text])))
-                spent += len(text)
-        out = pd.DataFrame(rows, columns=["page_id", "text", "pages"])
-        out.insert(0, "site_id", site["site_id"].iloc[0])
-        return out.assign(chars=out["text"].str.len().astype("int64"), ord=range(1, len(out) + 1), page_id=out["page_id"].astype("Int64"))[["site_id", "page_id", "text", "chars", "pages", "ord"]]
-
-    folded = blocks.withColumn("text", T.fold(F.col("text"))).where(F.length("text").between(least, longest))
-    return folded.groupBy("site_id").applyInPandas(fold_site, "site_id string, page_id long, text string, chars long, pages long, ord long")
+    to most_shared. Then each page's own runs, rarest and longest first, until one does not fit; a later page may still have one that
+    does. blocks: (site_id, page_id, page_ord, block_ord, text). Equal ranks go by text, on a page by place.
+
+    A budget is spent in order, but only a bounded part of a site can take from it. Of shared runs of one length only the first
+    most_shared can be taken. Of pages whose first run is of one length all are taken from until the budget is gone, so only the first
+    budget / least of them can count. The rest is cut before a site's lengths, not its texts, are brought together."""
+    folded = blocks.withColumn("text", T.fold(F.col("text"))).withColumn("chars", F.length("text").cast("long")).where(F.col("chars").between(least, longest))
+    on = folded.groupBy("site_id", "text", "chars").agg(F.count_distinct("page_id").alias("pages"))
+    alike = F.row_number().over(Window.partitionBy("site_id", "chars").orderBy(F.desc("pages"), "text"))
+    shared = on.where("pages > 1").withColumn("alike", alike).where(F.col("alike") <= most_shared)
+    items = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("rarity"), (-F.col("chars")).alias("brevity"), "text", "chars", "pages")))
+    shared = shared.groupBy("site_id").agg(items.alias("items")).select("site_id", _greedy(F.col("items"), F.lit(0), budget // 3, most_shared).alias("taken"))
+    told = shared.select("site_id", F.posexplode("taken.kept").alias("i", "x")).select("site_id", F.col("x.text").alias("text"), F.col("x.chars").alias("chars"), F.col("x.pages").alias("pages"), (F.col("i") + 1).cast("long").alias("ord"))
+
+    own = folded.groupBy("site_id", "page_ord", "text", "chars").agg(F.min("page_id").alias("page_id"), F.min("block_ord").alias("place"))
+    own = own.join(told.select("site_id", "text"), ["site_id", "text"], "left_anti").join(on.select("site_id", "text", "pages"), ["site_id", "text"])
+    page = Window.partitionBy("site_id", "page_ord").orderBy("pages", F.desc("chars"), "place")
+    own = own.withColumn("turn", F.row_number().over(page)).withColumn("head", F.first("chars").over(page)).where(F.col("turn") <= per_page)
+    heads = own.where("turn = 1").withColumn("alike", F.row_number().over(Window.partitionBy("site_id", "head").orderBy("page_ord"))).where(F.col("alike") <= budget // least)
+    able = own.join(heads.select("site_id", "page_ord"), ["site_id", "page_ord"], "left_semi")
+    lines = able.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("page_ord", "turn", "chars"))).alias("lines"))
+    spent, before = F.coalesce("taken.spent", F.lit(0)), F.coalesce(F.size("taken.kept"), F.lit(0))
+    lines = lines.join(shared, "site_id", "left").select("site_id", before.alias("before"), F.posexplode(_by_page(F.col("lines"), spent, budget)).alias("i", "x"))
+    chosen = lines.select("site_id", F.col("x.page_ord").alias("page_ord"), F.col("x.turn").alias("turn"), (F.col("before") + F.col("i") + 1).cast("long").alias("ord"))
+    rows = able.join(chosen, ["site_id", "page_ord", "turn"]).select("site_id", F.col("page_id").cast("long").alias("page_id"), "text", "chars", "pages", "ord")
+    return told.select("site_id", F.lit(None).cast("long").alias("page_id"), "text", "chars", "pages", "ord").unionByName(rows)
+
+
+def running_total(rows: DataFrame, key: str, order: str, value: Column, stretch: int = 4096) -> DataFrame:
+    """rows and `before`, the sum of value over the key's rows of a smaller order, a whole number; null for the first.
+
+    Stretches of the order are summed first, so that a key with very many rows is spread over as many tasks as it has stretches, and
+    only their sums come together."""
+    cells = rows.withColumn("__stretch", F.floor(F.col(order) / stretch)).withColumn("__amount", value)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy(F.col(key).alias("__key"), F.col("__stretch").alias("__at")).agg(F.sum("__amount").alias("__total"))
+    sums = sums.select("__key", "__at", F.sum("__total").over(earlier(Window.partitionBy("__key").orderBy("__at"))).alias("__skipped"))
+    met = cells.join(sums, F.col(key).eqNullSafe(F.col("__key")) & F.col("__stretch").eqNullSafe(F.col("__at")))
+    inside = F.sum("__amount").over(earlier(Window.partitionBy(key, "__stretch").orderBy(order)))
+    zero = F.lit(0)
+    before = F.when(F.col("__skipped").isNotNull() | inside.isNotNull(), F.coalesce("__skipped", zero) + F.coalesce(inside, zero))
+    return met.select(*rows.columns, before.alias("before"))
 
 
 def shared_preamble(openings: DataFrame, least_pages: int = 4, least_chars: int = 400) -> DataFrame:

@@ -165,7 +165,7 @@ def candidate_links(spark, sf_dir):
 @query()
 def candidate_links_pages(spark, sf_dir):
     pages = extract_pages(A.site_pages(table(spark, sf_dir, "pages")).select("site_id", "page_ord", "url", "html"))
-    links = pages.select("site_id", F.col("site_id").alias("netloc"), "page_ord", F.posexplode("links.href").alias("i", "href")).withColumn("ord", F.col("page_ord").cast("long") * 1000 + F.col("i"))
+    links = pages.select("site_id", F.col("site_id").alias("netloc"), "page_ord", F.posexplode("links.href").alias("i", "href")).withColumn("ord", F.struct("page_ord", "i"))
     return U.candidate_links(links)
 
 
@@ -678,8 +678,8 @@ def corpus_stats(spark, sf_dir):
 
 @query('select source as site_id, cast(sum(length(coalesce(text, ''))) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding) as bigint) as "at", doc_id from documents')
 def running_offset(spark, sf_dir):
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("site_id"), F.sum(F.length(T.text_of(F.col("text")))).over(before).alias("at"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return N.running_total(docs.select("source", "doc_id", "text"), "source", "doc_id", F.length(T.text_of(F.col("text")))).select(F.col("source").alias("site_id"), F.col("before").alias("at"), "doc_id")
 
 
 from pagewright import capture_queries  # noqa: E402, F401  it registers its queries here
