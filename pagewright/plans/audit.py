@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,9 +48,9 @@ def classed(pages: DataFrame, most: int = 8) -> DataFrame:
 
 
 def derive(frames: Frames) -> Frames:
-    """Add what follows from the pages: their classes, measures, claims, JSON-LD nodes, the variants of their names."""
-    pages = classed(frames["pages"])
-    out = dict(frames, pages=pages)
+    """Add what follows from classed pages: measures, claims, JSON-LD nodes, their names."""
+    pages = frames["pages"]
+    out = dict(frames)
     out["measured"] = measured(pages)
     out["claims"] = C.claim_index(pages.select("page_id", F.col("claim_text").alias("text")))
     out["jsonld_nodes"] = jsonld_nodes(pages.select("page_id", F.posexplode("jsonld.raw").alias("block", "raw")))
@@ -71,9 +73,11 @@ def names_of(pages: DataFrame) -> DataFrame:
     return rows.select("site_id", (F.col("page_ord") * len(stated) + F.col("k")).alias("ord"), "surface", "value")
 
 
-def audit(spark: SparkSession, frames: Frames) -> dict[str, DataFrame]:
-    """Run every check over the frames and merge the results; pages are extracted once if the caller persists them."""
-    results = run_checks(derive(frames))
+def audit(spark: SparkSession, frames: Frames, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """Run every check over the frames and merge the results. `keep` may persist what many checks read: the classed pages and what is
+    derived from them."""
+    classes = dict(frames, pages=keep(classed(frames["pages"])))
+    results = run_checks({name: df if name in frames else keep(df) for name, df in derive(classes).items()})
     order = Window.partitionBy("site_id").orderBy("check_id", "title", F.concat_ws(",", "urls"))
     results = results.withColumn("ord", F.row_number().over(order))
     report = build_report(results, catalog(spark), frames["sites"])

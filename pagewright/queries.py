@@ -133,7 +133,7 @@ def site_repetition(spark, sf_dir):
 @query()
 def audit_findings(spark, sf_dir):
     captures = A.site_pages(table(spark, sf_dir, "pages"))
-    return A.audit(spark, {"sites": A.bare_sites(captures), "pages": A.page_frame(captures).persist()})["results"].groupBy("check_id", "gate").agg(F.count("*").alias("sites"))
+    return A.audit(spark, {"sites": A.bare_sites(captures), "pages": A.page_frame(captures)}, DataFrame.persist)["results"].groupBy("check_id", "gate").agg(F.count("*").alias("sites"))
 
 
 @query(f"select {sql_netloc('url')} as site_id, {sql_cluster('url')} as pattern, count(*) as n from pages group by 1, 2 qualify row_number() over (partition by {sql_netloc('url')} order by count(*) desc, {sql_cluster('url')}) <= 15")

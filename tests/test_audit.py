@@ -158,7 +158,7 @@ def test_audit_looks_at_pages_that_matter(spark):
     """Captures without classes get them from selection; a site without an important page is not evaluated, and names are told."""
     rows = [(1, "https://a.example/", "<title>Acme Software | Home</title><h1>Acme</h1><footer>© 2024 Acme Widgets Inc. All rights</footer>"), (2, "https://a.example/pricing", "<title>Acme | Plans</title><meta name=robots content=noindex>"), (3, "https://b.example/zz/1", "<p>x</p>")]
     pages = A.page_frame(A.site_pages(spark.createDataFrame(rows, "page_id long, url string, html string")))
-    frames = A.derive({"pages": pages, "sites": A.bare_sites(A.site_pages(spark.createDataFrame(rows, "page_id long, url string, html string")))})
+    frames = A.derive({"pages": A.classed(pages), "sites": A.bare_sites(A.site_pages(spark.createDataFrame(rows, "page_id long, url string, html string")))})
     assert {(r["url"], r["page_class"]) for r in frames["pages"].select("url", "page_class").collect()} == {("https://a.example/", "homepage"), ("https://a.example/pricing", "decision"), ("https://b.example/zz/1", "other")}
     only = ("ACC-INDEX-CONTROL", "ACC-NOARCHIVE-COPILOT", "ENT-NAME-INCONSISTENT", "ENT-AMBIGUOUS-NAME")
     got = {(r["site_id"], r["check_id"]): r for r in run_checks(frames, only).collect()}
