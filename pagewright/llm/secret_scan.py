@@ -144,9 +144,13 @@ def randomness(token: Column) -> Column:
         return chi_tail(fisher, 6)
 
     folded = F.when(body.rlike("^[0-9A-F]+$"), F.lower(body)).otherwise(body)
-    codes = F.transform(F.split(folded, ""), lambda c: F.instr(symbols, c).cast("double") - 1)
-    pair = F.struct(codes.alias("codes"), F.length(symbols).cast("double").alias("k"))
-    return F.when(symbols.isNotNull(), let(pair, battery))
+
+    def coded(x: Column) -> Column:
+        # the alphabet is bound once; looked for in every step it would be found anew for each character
+        codes = F.transform(F.split(x["folded"], ""), lambda c: F.instr(x["symbols"], c).cast("double") - 1)
+        return let(F.struct(codes.alias("codes"), F.length(x["symbols"]).cast("double").alias("k")), battery)
+
+    return F.when(symbols.isNotNull(), let(F.struct(symbols.alias("symbols"), folded.alias("folded")), coded))
 
 
 def candidates(text: Column) -> Column:

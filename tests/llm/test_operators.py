@@ -139,6 +139,15 @@ def test_a_phrase_of_every_row_makes_no_large_part(spark):
     assert substring_dedup.repeats(docs, part_words=500).count() == 0
 
 
+def test_likely_documents(spark):
+    rng = random.Random(5)
+    every = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    docs, found = spark.createDataFrame([(d, "t") for d in every], "doc long, text string"), spark.createDataFrame([(d,) for d in every[:200] * 2], "doc long")
+    got = [r["doc"] for r in substring_dedup.likely(docs, found).collect()]
+    assert set(every[:200]) <= set(got) and len(got) == len(set(got)) < 260
+    assert substring_dedup.likely(docs, found.limit(0)).count() == 0
+
+
 def test_deep_nodes_by_brute_force():
     rng = np.random.default_rng(4)
     for depth in (2, 3, 7, 35):
