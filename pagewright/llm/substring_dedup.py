@@ -37,6 +37,8 @@ WINDOW = 35
 PREFIXES = (8, 16)
 #: Words of a part that a task builds a subtree of.
 PART_WORDS = 1 << 18
+#: Bitmaps of 4096 bytes in the filter of documents with a part that was too large.
+BITMAPS = 256
 #: Bytes of a word's hash within a part.
 WORD_BYTES = 6
 
@@ -236,10 +238,24 @@ def subtrees(parts: DataFrame, window: int) -> DataFrame:
     return parts.repartition("anchor").sortWithinPartitions("anchor").transform(in_arrow, emit, "doc long, start int, stop int")
 
 
+def likely(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc is among those of found, and a few others: a filter of 1 MB at most, whatever found holds, so that
+    texts without a span are not sent to the join that decides. With very many found it lets all pass."""
+    bits = BITMAPS * 32768
+    at = lambda doc: F.pmod(doc, F.lit(bits))
+    maps = found.select(at(F.col("doc")).alias("at")).groupBy(F.expr("cast(at div 32768 as int)").alias("map")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bitmap"))
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.expr(f"cast(pmod(doc, {bits}) % 32768 div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    held = F.expr(f"cast(pmod(doc, {bits}) % 8 as int)")
+    rows = docs.withColumn("map_of", (F.floor(at(F.col("doc")) / 32768)).cast("int"))
+    rows = rows.join(F.broadcast(maps), F.col("map_of") == F.col("map")).where(F.call_function("getbit", byte.cast("long"), held) == 1)
+    return rows.select(*docs.columns)
+
+
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that have spans, and these; found: (doc, start, size, prefix)."""
     spans = found.groupBy(F.col("doc").alias("found_doc")).agg(F.collect_set(F.struct("start", "size", "prefix")).alias("spans"))
-    return docs.join(spans, F.col("doc") == F.col("found_doc")).drop("found_doc")
+    # a merge join at every size: texts are laid out by doc once, for this and for the join that ends the query
+    return docs.join(spans.hint("merge"), F.col("doc") == F.col("found_doc")).drop("found_doc")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] = PREFIXES, part_words: int = PART_WORDS) -> DataFrame:
@@ -258,7 +274,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] = P
         large = found.where("large")
         if large.isEmpty():
             break
-        todo = with_spans(docs, large)
+        todo = with_spans(likely(docs, large), large)
     out = subtrees(parts_of(with_spans(docs, fitting), window), window) if fitting is not None else None
     return out if told is None else told if out is None else out.unionAll(told)
 
@@ -277,7 +293,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.xxhash64("doc_id", "text"))
     spans = repeats(rows, window, **how).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("doc", "span_doc")
-    joined = rows.join(spans, F.col("doc") == F.col("span_doc"), "left").drop("span_doc")
+    joined = rows.join(spans.hint("merge"), F.col("doc") == F.col("span_doc"), "left").drop("span_doc")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     schema = schema.add("kept_text", "string") if with_text else schema
 
