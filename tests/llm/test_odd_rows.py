@@ -29,7 +29,7 @@ def odd_docs(spark):
 def tables(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(9)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").withColumn("label", F.lit("x"))
-    bench = spark.createDataFrame([(1, "same words here"), (1, "same words here"), (2, None), (3, ""), (4, " ".join(f"q{i}" for i in range(90000)))], "item_id long, text string").withColumn("seq", F.lit("x"))
+    bench = spark.createDataFrame([(1, "same words here"), (1, "same words here"), (2, None), (3, ""), (4, " ".join(f"q{i}" for i in range(4000)))], "item_id long, text string").withColumn("seq", F.lit("x"))
     return docs, labels, bench
 
 
