@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, mixing, quality_model, quality_rules, secret_scan, substring_dedup, toxicity, url_filters, warc
+from . import conversations, decontamination, jaccard_join, mixing, periodic_runs, quality_model, quality_rules, secret_scan, simhash, substring_dedup, toxicity, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,24 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs, ["doc_id"]))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.structure_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op3_jaccard_join, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_url_filters, op8_toxicity, op9_warc, op10_secret_scans)
-}
+    for f in (
+        op1_quality_rules, op2_mixing, op3_jaccard_join, op4_decontamination, op5_quality_classifier, op6_substring_dedup, op7_url_filters,
+        op8_toxicity, op9_warc, op10_secret_scans, op11_periodic_runs, op12_conversation_repair, op13_simhash,
+    )
+}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op7_url_filters": url_filters.oracle(), "op9_warc": warc.oracle()}
