@@ -104,7 +104,10 @@ def site_repetition(pages: DataFrame) -> DataFrame:
 def stats_of(pages: DataFrame) -> DataFrame:
     """Narrow facts of extracted pages, one row each."""
     cols = ["headings", "links", "images", "jsonld", "sections", "blocks"]
-    return pages.select("site_id", "page_id", F.length("visible_text").alias("visible_chars"), T.word_count(F.col("visible_text")).alias("words"), *[F.size(c).alias(f"n_{c}") for c in cols])
+    return pages.select(
+        "site_id", "page_id", "title", F.length("visible_text").alias("visible_chars"), F.md5(F.col("visible_text").cast("binary")).alias("visible_md5"),
+        T.word_count(F.col("visible_text")).alias("words"), *[F.size(c).alias(f"n_{c}") for c in cols],
+    )
 
 
 def chosen_pages(pages: DataFrame, most: int = 8) -> DataFrame:

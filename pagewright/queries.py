@@ -23,7 +23,7 @@ from pagewright.plans import report as M
 from pagewright.plans import verdicts as V
 from pagewright.plans.catalog import catalog, catalog_rows
 from pagewright.sources import files as S
-from pagewright.sources.html import decode_state, extract_pages, state_strings
+from pagewright.sources.html import extract_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,11 +119,6 @@ def page_paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(ps).cast("long").alias("paragraphs"), F.length(F.array_join(ps, "")).cast("long").alias("chars"))
 
 
-@query()
-def page_extract(spark, sf_dir):
-    return A.stats_of(extract_pages(A.site_pages(table(spark, sf_dir, "pages")).select("site_id", "page_id", "url", "html")))
-
-
 @query()
 def site_repetition(spark, sf_dir):
     return A.site_repetition(table(spark, sf_dir, "pages"))
@@ -550,13 +545,6 @@ def hidden_text(spark, sf_dir):
     return X.HIDDEN.frame(spark).select("page_id", K.hidden_instances(F.col("raw")).alias("instances"))
 
 
-@query()
-def state_text(spark, sf_dir):
-    payloads = ['{"a": ["some words that are here", "http://no"], "b": {"c": "other words to keep"}}', 'window.x = {"k": "inside an assignment"};', "broken"]
-    rows = [(i, " | ".join(state_strings(decode_state(p)))) for i, p in enumerate(payloads)]
-    return spark.createDataFrame(rows, "payload int, strings string")
-
-
 @query()
 def jsonld_validity(spark, sf_dir):
     blocks = ['{"@type": "Product", "offers": {"price": 5}}', '{"@graph": [{"@type": "Organization", "name": "A"}, {"name": "x"}]}', '{"@type": "Organization" "name"', '[{"@type": ["Brand"], "name": " "}]']
@@ -681,4 +669,4 @@ def running_offset(spark, sf_dir):
     return N.running_total(docs.select("source", "doc_id", "text"), "source", "doc_id", F.length(T.text_of(F.col("text")))).select(F.col("source").alias("site_id"), F.col("before").alias("at"), "doc_id")
 
 
-from pagewright import capture_queries  # noqa: E402, F401  it registers its queries here
+from pagewright import capture_queries, page_queries  # noqa: E402, F401  they register their queries here
