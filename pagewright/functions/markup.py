@@ -22,6 +22,8 @@ ATTRIBUTE = r'[^\s"\x27=<>/]+(?:\s*=\s*(?:"[^"]*"|\x27[^\x27]*\x27|[^\s"\x27>]*)
 #: Character references: numbers, and the names of HTML 4 with their semicolon.
 REFERENCE = r"&(?:#[0-9]{1,8};?|#[xX][0-9a-fA-F]{1,7};?|[a-zA-Z][a-zA-Z0-9]*;)"
 NAMES = {name: chr(code) for name, code in sorted(name2codepoint.items())}
+#: The names as a map; where many expressions need it, hand them a column that holds it.
+NAMES_MAP = f"from_json(r'{json.dumps(NAMES)}', 'map<string,string>')"
 
 
 def raw(value: str) -> Expr:
@@ -106,24 +108,24 @@ def character(code: Expr) -> Expr:
     return let(code, lambda c: f"if({known(c)}, decode(unhex(lpad(hex({c}), 8, '0')), 'UTF-32'), '�')")
 
 
-def referred(reference: Expr) -> Expr:
+def referred(reference: Expr, names: Expr) -> Expr:
     """What a character reference stands for; itself if its name is not known."""
     number = character(f"cast({found(reference, '^&#([0-9]+)')} as bigint)")
     hexed = character(f"cast(conv({found(reference, '^&#[xX]([0-9a-fA-F]+)')}, 16, 10) as bigint)")
-    named = f"from_json({raw(json.dumps(NAMES))}, 'map<string,string>')[{found(reference, '^&([a-zA-Z0-9]+);')}]"
+    named = f"{names}[{found(reference, '^&([a-zA-Z0-9]+);')}]"
     return f"case when {like(reference, '^&#[0-9]')} then {number} when {like(reference, '^&#')} then {hexed} else coalesce({named}, {reference}) end"
 
 
-def unescape(x: Expr) -> Expr:
+def unescape(x: Expr, names: Expr = NAMES_MAP) -> Expr:
     """A text with its character references replaced; null for null."""
-    rejoined = lambda t: let(struct(a=f"split({t}, {raw(REFERENCE)}, -1)", r=every(t, REFERENCE)), lambda p: f"concat(array_join(zip_with(slice({p}.a, 1, size({p}.r)), {p}.r, (a, r) -> concat(a, {referred('r')})), ''), element_at({p}.a, -1))")
+    rejoined = lambda t: let(struct(a=f"split({t}, {raw(REFERENCE)}, -1)", r=every(t, REFERENCE)), lambda p: f"concat(array_join(zip_with(slice({p}.a, 1, size({p}.r)), {p}.r, (a, r) -> concat(a, {referred('r', names)})), ''), element_at({p}.a, -1))")
     return let(x, lambda t: f"if(contains({t}, '&'), {rejoined(t)}, {t})")
 
 
-def attribute(tag: Expr, name: str) -> Expr:
+def attribute(tag: Expr, name: str, names: Expr = NAMES_MAP) -> Expr:
     """The value of a tag's first attribute of that name; empty if it has none, null if there is no such attribute."""
     own = f"get({only(every(tag, ATTRIBUTE), lambda a: like(a, rf'(?i)^{name}(?:[\s=]|\z)'))}, 0)"
-    return unescape(replaced(found(own, r"(?s)^[^=]*=\s*(.*)"), r'(?s)^(["\x27])(.*)\1$', "$2"))
+    return unescape(replaced(found(own, r"(?s)^[^=]*=\s*(.*)"), r'(?s)^(["\x27])(.*)\1$', "$2"), names)
 
 
 def _without_dots(path: Expr) -> Expr:

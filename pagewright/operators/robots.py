@@ -62,28 +62,38 @@ def rule_body(rule: Column, anchored: bool) -> Column:
     return F.regexp_replace(F.regexp_extract(rule, r"^([^$]*)", 1), r"\*+$", "")
 
 
-def rules_apply(path: Column, rule: Column, anchored: bool) -> Column:
-    if anchored:
-        r = F.trim(rule)
-        exact = r.endswith("$")
-        return F.when(r == "", F.lit(False)).when(exact, path == F.regexp_replace(r, r"\$$", "")).otherwise(path.startswith(rule_body(rule, True)))
-    return path.startswith(rule_body(rule, False))
+def rule_rows(rows: DataFrame, anchored: bool) -> DataFrame:
+    """(site_id, agent, rule, kind, start, exact, size): what a path must begin with, or be if exact, and the length that ranks the rule;
+    empty anchored rules fit nothing and are left out."""
+    flat = F.explode(F.concat(F.transform("disallow", lambda r: F.struct(r.alias("rule"), F.lit("disallow").alias("kind"))), F.transform("allow", lambda r: F.struct(r.alias("rule"), F.lit("allow").alias("kind")))))
+    rules = rows.select("site_id", F.col("token").alias("agent"), flat.alias("r")).select("site_id", "agent", "r.*").distinct()
+    body = rule_body(F.col("rule"), anchored)
+    if not anchored:
+        return rules.select("*", body.alias("start"), F.lit(False).alias("exact"), F.length(body).alias("size"))
+    trimmed = F.trim("rule")
+    exact = trimmed.endswith("$")
+    start = F.when(exact, F.regexp_replace(trimmed, r"\$$", "")).otherwise(body)
+    return rules.where(trimmed != "").select("*", start.alias("start"), exact.alias("exact"), F.length(F.regexp_replace(body, r"[*$]+$", "")).alias("size"))
 
 
 def decide_paths(paths: DataFrame, rows: DataFrame, tokens: DataFrame, anchored: bool = True) -> DataFrame:
     """(site_id, token, path, rule, kind, blocked): the longest rule that fits decides, a disallow before an allow of its length.
 
     paths: (site_id, path); tokens: (site_id, token); rows: robots_rows. A token without rows of its own is under those of "*".
-    The join is an equi join on the site, so rules meet only their own site's paths."""
-    flat = F.explode(F.concat(F.transform("disallow", lambda r: F.struct(r.alias("rule"), F.lit("disallow").alias("kind"))), F.transform("allow", lambda r: F.struct(r.alias("rule"), F.lit("allow").alias("kind")))))
-    rules = rows.select("site_id", F.col("token").alias("agent"), flat.alias("r")).select("site_id", "agent", "r.*").distinct()
+    A path meets rules by its own beginnings, of the lengths that its site's rules have: an equi join, which only pairs that fit
+    leave. Tokens come in when each group of rules has decided."""
+    rules = rule_rows(rows, anchored)
     own = rows.select("site_id", F.col("token").alias("key")).distinct().withColumn("has", F.lit(True))
     named = tokens.withColumn("key", F.lower("token")).join(own, ["site_id", "key"], "left")
-    named = named.select("site_id", "token", F.when(F.col("has"), F.col("key")).otherwise("*").alias("agent"))
-    met = named.join(paths.select("site_id", "path").distinct(), "site_id").join(rules, ["site_id", "agent"], "left")
-    fits = F.col("rule").isNotNull() & rules_apply(F.col("path"), F.col("rule"), anchored)
-    size = F.length(F.regexp_replace(rule_body(F.col("rule"), anchored), r"[*$]+$", "")) if anchored else F.length(rule_body(F.col("rule"), False))
-    best = F.max(F.when(fits, F.struct(size.alias("size"), (F.col("kind") == "disallow").cast("int").alias("first"), F.col("rule").alias("rule"))))
-    out = met.groupBy("site_id", "token", "path").agg(best.alias("best"))
+    named = named.select("site_id", "token", F.when(F.col("has"), F.col("key")).otherwise("*").alias("agent")).distinct()
+    asked = paths.select("site_id", "path").where("path is not null").distinct()
+
+    lengths = rules.groupBy("site_id").agg(F.collect_set(F.length("start")).alias("lengths"))
+    beginnings = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    starts = asked.join(lengths, "site_id").select("site_id", "path", F.explode(beginnings).alias("start"))
+    fits = starts.join(rules, ["site_id", "start"]).where(~F.col("exact") | (F.col("path") == F.col("start")))
+    best = F.max(F.struct("size", (F.col("kind") == "disallow").cast("int").alias("first"), "rule"))
+    decided = fits.groupBy("site_id", "agent", "path").agg(best.alias("best"))
+    out = asked.join(named, "site_id").join(decided, ["site_id", "agent", "path"], "left")
     kind = F.when(F.col("best").isNull(), F.lit(None)).when(F.col("best.first") == 1, "disallow").otherwise("allow")
     return out.select("site_id", "token", "path", F.col("best.rule").alias("rule"), kind.cast("string").alias("kind"), F.coalesce(F.col("best.first") == 1, F.lit(False)).alias("blocked"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
 
+from .medians import exact_median
+from .shared import computed
+
 OPENING = 150
 
 
@@ -38,7 +40,7 @@ def extraction_displacement(runs: DataFrame, pages: DataFrame, least: int = 5) -
     first = F.min(F.when(F.col("is_shared").isNull(), F.col("line_ord"))).over(Window.partitionBy("site_id", "page_id"))
     rows = rows.withColumn("first_own", first).where("first_own is null or line_ord < first_own")
     per_page = rows.groupBy("site_id", "page_id").agg(F.count("*").alias("skipped"), F.sum(F.length("line") + 1).alias("chars")).where(F.col("skipped") >= least)
-    med = per_page.groupBy("site_id").agg(F.count("*").alias("sharers"), F.floor(F.median("chars")).cast("long").alias("median_chars"))
+    med = exact_median(per_page, "site_id", "chars").select("site_id", F.col("n").alias("sharers"), F.col("median").alias("median_chars"))
     sizes = pages.groupBy("site_id").agg(F.greatest(F.lit(2), F.ceil(F.count_distinct("page_id") / 2)).cast("long").alias("needed"))
     return sizes.join(med, "site_id", "left").select("site_id", F.coalesce("sharers", F.lit(0)).alias("sharers"), "needed", F.coalesce("median_chars", F.lit(0)).alias("median_chars"))
 
@@ -179,25 +181,58 @@ def shared_preamble(openings: DataFrame, least_pages: int = 4, least_chars: int
     return ends.join(longest, same).select("site_id", found.alias("preamble"), F.when(enough, F.col("end.pages")).otherwise(F.lit(0).cast("long")).alias("pages"))
 
 
-def name_groups(names: DataFrame) -> DataFrame:
+def _rivals(names: DataFrame) -> DataFrame:
+    """(site_id, ord, edge): names that share an edge fit one another; names: (site_id, ord, tokens), distinct token sets of a site.
+
+    Names that share a telling token fit, so a token is an edge of all names that have it. Otherwise one set must hold the other, and
+    the smaller has no telling token: each such set is an edge of itself and of the sets that hold it, which are met by its tokens."""
+    telling = names.select("site_id", "ord", F.explode(T.significant(F.col("tokens"))).alias("token")).select("site_id", "ord", F.concat(F.lit("t:"), "token").alias("edge"))
+    holders = names.select("site_id", "ord", "tokens", F.explode("tokens").alias("token"))
+    faint = names.where(F.size(T.significant(F.col("tokens"))) == 0).select("site_id", F.col("ord").alias("small"), F.col("tokens").alias("inner"), F.explode("tokens").alias("token"))
+    held_by = faint.select("site_id", "token").distinct().join(holders, ["site_id", "token"]).groupBy("site_id", "token").agg(F.count("*").alias("sets"))
+    rarest = faint.join(held_by, ["site_id", "token"]).groupBy("site_id", "small", "inner").agg(F.min_by("token", F.struct("sets", "token")).alias("token"))
+    held = rarest.join(holders, ["site_id", "token"]).where(F.size(F.array_except("inner", "tokens")) == 0)
+    pairs = held.where("small <> ord").select("site_id", "ord", "small")
+    # an edge for each pair: two sets that hold a third do not fit for that
+    edge = F.concat(F.lit("s:"), F.col("small").cast("string"), F.lit(":"), F.col("ord").cast("string"))
+    return telling.unionByName(pairs.select("site_id", "ord", edge.alias("edge"))).unionByName(pairs.select("site_id", F.col("small").alias("ord"), edge.alias("edge")))
+
+
+def name_groups(names: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(site_id, grp, ord, surface, value): variants of a name, each in the first group that it fits; names: (site_id, ord, surface, value).
 
-    A group keeps the tokens of its first member, so order decides; names without telling tokens are left out."""
-    rows = names.withColumn("tokens", T.name_tokens(F.col("value"))).where(F.size("tokens") > 0)
-
-    def fold_site(site: pd.DataFrame) -> pd.DataFrame:
-        groups: list[set] = []
-        where = []
-        telling = lambda ts: {t for t in ts if len(t) >= 3 and not t.isdigit()}
-        for tokens in map(set, site.sort_values("ord")["tokens"]):
-            at = next((i for i, g in enumerate(groups) if g <= tokens or tokens <= g or telling(g) & telling(tokens)), None)
-            if at is None:
-                at = len(groups)
-                groups.append(tokens)
-            where.append(at + 1)
-        return site.sort_values("ord").assign(grp=where)[["site_id", "grp", "ord", "surface", "value"]]
-
-    return rows.groupBy("site_id").applyInPandas(fold_site, "site_id string, grp long, ord long, surface string, value string")
+    A group keeps the tokens of its first member, so order decides: founders are the names that fit no earlier founder. They are found
+    in rounds. A name that is the first of its undecided rivals is a founder; names that fit a founder are not; the others wait. A
+    round counts edges and compares no pairs, and every round settles the first name of each site at least. Names without telling tokens
+    are left out; names of one site have distinct ords."""
+    rows = names.withColumn("tokens", T.name_tokens(F.col("value"))).where(F.size("tokens") > 0).withColumn("set", F.array_sort("tokens"))
+    # sets that are equal fit wherever one of them does
+    sets = computed(rows.groupBy("site_id", "set").agg(F.min("ord").alias("ord")))
+    edges = computed(_rivals(sets.select("site_id", "ord", F.col("set").alias("tokens"))))
+    alone = sets.select("site_id", "ord").join(edges.select("site_id", "ord").distinct(), ["site_id", "ord"], "left_anti")
+    founders, waiting = [alone], edges
+    for _ in range(most_rounds):
+        first = waiting.groupBy("site_id", "edge").agg(F.min("ord").alias("first"))
+        met = waiting.join(first, ["site_id", "edge"])
+        found = computed(met.groupBy("site_id", "ord").agg(F.every(F.col("ord") == F.col("first")).alias("leads")).where("leads").select("site_id", "ord"))
+        founders.append(found)
+        taken = waiting.join(found, ["site_id", "ord"], "left_semi").select("site_id", "edge").distinct()
+        settled = waiting.join(taken, ["site_id", "edge"], "left_semi").select("site_id", "ord").distinct()
+        waiting = computed(waiting.join(settled, ["site_id", "ord"], "left_anti"))
+        if waiting.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"names did not settle in {most_rounds} rounds")
+    founder = founders[0]
+    for more in founders[1:]:
+        founder = founder.unionByName(more)
+    heads = founder.withColumn("grp", F.row_number().over(Window.partitionBy("site_id").orderBy("ord")).cast("long"))
+    of_edge = edges.join(heads, ["site_id", "ord"]).groupBy("site_id", "edge").agg(F.min("grp").alias("grp"))
+    fits = edges.join(of_edge, ["site_id", "edge"]).select("site_id", "ord", "grp").unionByName(heads.select("site_id", "ord", "grp"))
+    # a founder shares edges with later founders of none; its own group is the first
+    chosen = fits.groupBy("site_id", "ord").agg(F.min("grp").alias("grp"))
+    by_set = sets.join(chosen, ["site_id", "ord"]).select("site_id", "set", "grp")
+    return rows.join(by_set, ["site_id", "set"]).select("site_id", "grp", "ord", "surface", "value")
 
 
 # What announces a legal name, what marks one, and words that follow it but are no part of it.

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
 
+from .medians import exact_median
+
 # What page selection looks for, in order, and what it puts last.
 PRIORITIES = (
     ("decision", "price|pricing|plan|plans|cost"),
@@ -179,5 +181,5 @@ def fetch_latency(samples: DataFrame, least: int = 3, medium_ms: int = 2500, hig
 
     The median is an integer, rounded down; fewer than `least` samples give no severity and no verdict."""
     ok = samples.where((F.col("timing_ms") > 0) & (F.col("status") < 400))
-    rows = ok.groupBy("site_id").agg(F.count("*").alias("n"), F.floor(F.median("timing_ms")).cast("long").alias("median_ms"), F.min("timing_ms").alias("min_ms"), F.max("timing_ms").alias("max_ms"))
+    rows = exact_median(ok, "site_id", "timing_ms").withColumnsRenamed({"median": "median_ms", "least": "min_ms", "most": "max_ms"})
     return rows.withColumn("severity", F.when(F.col("n") < least, "not_evaluated").when(F.col("median_ms") >= high_ms, "high").when(F.col("median_ms") >= medium_ms, "medium").otherwise("pass"))

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import markup as H
 from pagewright.functions import text as T
+from pagewright.operators import asof as W
 from pagewright.operators import excerpts as E
+from pagewright.operators import robots as R
+from pagewright.operators import runs as N
 from pagewright.plans import audit as A
 from pagewright.sources import html as P
 from pagewright.sources.html import extract_pages
 
-from .queries import query, sql_netloc, table
+from .queries import part, query, sql_netloc, sql_path, table
 
 _REST = r'(?:[^\x27">]|"[^"]*"|\x27[^\x27]*\x27)*'
 _RAW = "|".join(rf"<{n}(?:[\s/]{_REST})?>.*?(?:</{n}(?:\s[^>]*)?>|\z)" for n in ("script", "style", "title"))
@@ -159,3 +162,71 @@ def state_text(spark, sf_dir):
     payload = F.concat(F.lit("window.state = "), F.to_json(F.struct(F.array_sort(F.collect_list(turn)).alias("turns"))), F.lit(";"))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(payload.alias("payload"))
     return rows.select("conv_id", F.array_join(F.expr(P.state_strings(P.state_json("payload"))), "|").alias("strings"))
+
+
+# what automated readers are served
+_STATUS = (200, 403, 429, 503, 404)
+_DIFFERENTIAL = """bots as (select * from fetches where token is not null), browsers as (select * from fetches where token is null and status is not null),
+met as (select b.*, w.status as browser_status, w.at as browser_at from bots b left join browsers w on w.site_id = b.site_id and w.path = b.path and w.at <= b.at qualify row_number() over (partition by b.fetch_id order by w.at desc nulls last, w.fetch_id desc) = 1)
+select site_id, fetch_id, token, path as requested_path, allows as robots_allows, case when coalesce(allows, true) then status end as status, browser_status, browser_at,
+  case when coalesce(allows, true) and status in (401, 403, 429, 503) and status <> browser_status then 'browser ' || browser_status || ' / bot-UA ' || status end as differential, case when coalesce(allows, true) then robots_meta end as robots_meta, cast(null as varchar) as x_robots_tag from met"""
+
+
+@query(f"""with fetches as (select 'events' as site_id, event_id as fetch_id, ts as at, case event_type when 'error' then 'GPTBot' when 'signup' then 'PerplexityBot' when 'purchase' then 'OAI-SearchBot' end as token,
+  '/u/' || (user_id % 40) as path, [{", ".join(map(str, _STATUS))}][cast(floor(value) as integer) % 5 + 1] as status, event_type as robots_meta, cast(null as boolean) as allows from events), {_DIFFERENTIAL}""")
+def ua_differential_events(spark, sf_dir):
+    """Events as fetches of forty paths: what a bot got, beside what a browser got last."""
+    rows = table(spark, sf_dir, "events")
+    token = F.when(F.col("event_type") == "error", "GPTBot").when(F.col("event_type") == "signup", "PerplexityBot").when(F.col("event_type") == "purchase", "OAI-SearchBot")
+    status = F.element_at(F.array(*map(F.lit, _STATUS)), (F.floor("value") % 5 + 1).cast("int"))
+    url = F.concat(F.lit("http://events/u/"), (F.col("user_id") % 40).cast("string"), F.lit("/?q"))
+    body = F.concat(F.lit("<html><META content='"), F.col("event_type"), F.lit("' name=robots>"))
+    return W.ua_probes(rows.select(F.lit("events").alias("site_id"), F.col("event_id").alias("fetch_id"), F.col("ts").alias("at"), token.alias("token"), url.alias("url"), status.alias("status"), body.alias("body"), F.lit(None).cast("string").alias("x_robots_tag")))
+
+
+_ROBOTS_FILE = "User-agent: *\nDisallow: /en/\nAllow: /en/7\nDisallow: /de/8$\nAllow: /de/8\nDisallow: /es/*\n\nUser-agent: GPTBot\nDisallow: /\nAllow: /fr/*\n"
+_RULES = "rules(agent, rule, dis) as (values ('*', '/en/', 1), ('*', '/en/7', 0), ('*', '/de/8$', 1), ('*', '/de/8', 0), ('*', '/es/*', 1), ('gptbot', '/', 1), ('gptbot', '/fr/*', 0))"
+_FITS = "case when ends_with(rule, '$') then path = rtrim(rule, '$') else starts_with(path, rtrim(rule, '*')) end"
+
+
+def _robots(pages):
+    return R.robots_rows(pages.select("site_id").distinct().withColumn("body", F.lit(_ROBOTS_FILE)))
+
+
+@query(f"""with {_RULES}, p as (select distinct {sql_netloc("url")} as site_id, {sql_path("url")} as path from pages where {sql_netloc("url")} <> ''), tokens(token, agent) as (values ('GPTBot', 'gptbot'), ('bingbot', '*')),
+best as (select p.site_id, token, path, rule, dis, row_number() over (partition by p.site_id, token, path order by length(rtrim(rule, '$*')) desc nulls last, dis desc, rule desc) as t from p, tokens k left join rules r on r.agent = k.agent and {_FITS})
+select site_id, token, path, rule, case dis when 1 then 'disallow' when 0 then 'allow' end as kind, coalesce(dis = 1, false) as blocked from best where t = 1""")
+def robots_pages(spark, sf_dir):
+    """What a given robots file says of each page's path."""
+    pages = A.site_pages(table(spark, sf_dir, "pages")).select("site_id", T.norm_path(F.col("url")).alias("path"))
+    tokens = pages.select("site_id", F.explode(F.array(F.lit("GPTBot"), F.lit("bingbot"))).alias("token")).distinct()
+    return R.decide_paths(pages.select("site_id", "path"), _robots(pages), tokens)
+
+
+@query(f"""with {_RULES}, paged as (select page_id, {sql_netloc("url")} as site_id, '/' || split_part({part("url", 3)}, '/', 2) as path, case page_id % 4 when 1 then 'GPTBot' when 2 then 'PerplexityBot' when 3 then 'OAI-SearchBot' end as token from pages where {sql_netloc("url")} <> ''),
+fetches as (select site_id, page_id as fetch_id, page_id as at, token, path, [{", ".join(map(str, _STATUS))}][cast(page_id // 3 % 5 as integer) + 1] as status, cast(null as varchar) as robots_meta,
+  coalesce((select arg_max(dis, length(rtrim(rule, '$*')) * 2 + dis) = 0 from rules where agent = case when token = 'GPTBot' then 'gptbot' else '*' end and {_FITS}), true) as allows from paged), {_DIFFERENTIAL}""")
+def ua_differential_pages(spark, sf_dir):
+    """Captures of pages, every fourth a browser's, under a given robots file; a section's pages count as one path."""
+    pages = A.site_pages(table(spark, sf_dir, "pages"))
+    token = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("GPTBot", "PerplexityBot", "OAI-SearchBot"))), (F.col("page_id") % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, _STATUS)), (F.floor(F.col("page_id") / 3) % 5 + 1).cast("int"))
+    url = F.concat(F.lit("http://h/"), F.coalesce(F.get(T.segments(F.col("url")), 0), F.lit("")))
+    rows = pages.select("site_id", F.col("page_id").alias("fetch_id"), F.col("page_id").alias("at"), token.alias("token"), url.alias("url"), status.alias("status"), F.col("html").alias("body"), F.lit(None).cast("string").alias("x_robots_tag"))
+    return W.ua_probes(rows, _robots(pages), stretch=50)
+
+
+@query()
+def name_groups_documents(spark, sf_dir):
+    """The first words of a source's documents as variants of names."""
+    words = F.slice(F.split(T.fold(F.col("text")), " "), 1, 3)
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("site_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("surface"), F.array_join(words, " ").alias("value"))
+    return N.name_groups(docs).select("site_id", "grp", "ord")
+
+
+@query()
+def name_groups_customers(spark, sf_dir):
+    """Customers of a segment: names that share a word, and numbers."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("site_id"), F.col("c_custkey").alias("ord"), F.lit("name").alias("surface"))
+    number = F.col("ord") % 300
+    return N.name_groups(rows.withColumn("value", F.concat_ws(" ", F.when(number % 2 == 0, F.concat(F.lit("Shop"), (number / 10).cast("int").cast("string"))), (number % 7).cast("string"), (number % 11).cast("string")))).select("site_id", "grp", "ord")

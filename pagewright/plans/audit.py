@@ -12,6 +12,7 @@ from pagewright.functions import text as T
 from pagewright.operators import claims as C
 from pagewright.operators import runs as N
 from pagewright.operators import urls as U
+from pagewright.operators.shared import stored
 from pagewright.sources.html import extract_pages
 
 from .catalog import catalog
@@ -33,8 +34,8 @@ def site_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_frame(captures: DataFrame) -> DataFrame:
-    """Extracted pages with the raw page and the distinct prices that they show."""
-    pages = extract_pages(captures.withColumn("raw_html", F.col("html")))
+    """Extracted pages, once for all who read them, with the raw page and the distinct prices that they show."""
+    pages = stored(extract_pages(captures.withColumn("raw_html", F.col("html"))))
     price = F.array_distinct(F.regexp_extract_all(T.text_of(F.col("claim_text")), F.lit(C.PATTERNS["price"]), 0))
     return pages.withColumn("prices", price)
 
@@ -98,7 +99,7 @@ def site_repetition(pages: DataFrame) -> DataFrame:
     """The flagship question: how much text does each site carry, and how much of it do its pages repeat?"""
     captures = site_pages(pages).select("site_id", "page_id", "url", "html")
     blocks = extract_pages(captures).select("site_id", "page_id", F.explode("blocks").alias("line"))
-    return N.site_overview(blocks)
+    return N.site_overview(stored(blocks))
 
 
 def stats_of(pages: DataFrame) -> DataFrame:

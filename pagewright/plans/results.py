@@ -54,10 +54,7 @@ def run_checks(frames: Frames, only: tuple[str, ...] | None = None) -> DataFrame
     """All registered checks over the frames; a check that lacks a frame is not_evaluated for every site, never an error."""
     from . import checks_access, checks_content, checks_referral  # noqa: F401  they register themselves
 
-    out = None
-    for check_id, (needs, f) in sorted(REGISTRY.items()):
-        if only is not None and check_id not in only:
-            continue
-        part = f(frames) if all(n in frames for n in needs) else not_evaluated(frames["sites"], check_id)
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [f(frames) if all(n in frames for n in needs) else not_evaluated(frames["sites"], check_id) for check_id, (needs, f) in sorted(REGISTRY.items()) if only is None or check_id in only]
+    while len(parts) > 1:  # in pairs, as every union is analysed with all that is below it
+        parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
+    return parts[0] if parts else None

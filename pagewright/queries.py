@@ -16,6 +16,7 @@ from pagewright.operators import robots as R
 from pagewright.operators import runs as N
 from pagewright.operators import urls as U
 from pagewright.operators.containment import contained
+from pagewright.operators.shared import stored
 from pagewright.plans import audit as A
 from pagewright.plans import checks_content as K
 from pagewright.plans import fixtures as X
@@ -127,7 +128,7 @@ def site_repetition(spark, sf_dir):
 @query()
 def audit_findings(spark, sf_dir):
     captures = A.site_pages(table(spark, sf_dir, "pages"))
-    return A.audit(spark, {"sites": A.bare_sites(captures), "pages": A.page_frame(captures)}, DataFrame.persist)["results"].groupBy("check_id", "gate").agg(F.count("*").alias("sites"))
+    return A.audit(spark, {"sites": A.bare_sites(captures), "pages": A.page_frame(captures)}, stored)["results"].groupBy("check_id", "gate").agg(F.count("*").alias("sites"))
 
 
 @query(f"select {sql_netloc('url')} as site_id, {sql_cluster('url')} as pattern, count(*) as n from pages group by 1, 2 qualify row_number() over (partition by {sql_netloc('url')} order by count(*) desc, {sql_cluster('url')}) <= 15")
@@ -399,7 +400,7 @@ def heading_runs_conversations(spark, sf_dir):
 def anchorable_runs(spark, sf_dir):
     pages = extract_pages(A.site_pages(table(spark, sf_dir, "pages")).select("site_id", "page_id", "page_ord", "url", "html"))
     blocks = pages.select("site_id", "page_id", "page_ord", F.posexplode("blocks").alias("block_ord", "text"))
-    return N.anchorable_runs(blocks)
+    return N.anchorable_runs(stored(blocks))
 
 
 @query()
