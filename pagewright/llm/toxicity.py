@@ -135,11 +135,11 @@ def fit(terms: np.ndarray, sizes: np.ndarray, y: np.ndarray, chosen: list[int],
     return Machine(lookup, w, v, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows: int = 20000, terms: int = 1000, least_docs: int = 5, least_lift: float = 10.0, skip: tuple[int, int] = HELD_OUT) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows: int = 20000, terms: int = 1000, least_docs: int = 5, least_lift: float = 5.0, skip: tuple[int, int] = HELD_OUT) -> Machine:
     """Learn from at most sample_rows labelled documents, from none whose id's crc32 is held out.
 
     Of the terms that at least least_docs of them hold, those count whose share of label 1 is off by least_lift or more, in squared
-    standard deviations; others add noise, most where labels are few."""
+    standard deviations; others add noise, most where labels are few. cross_validated() chooses the lift."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,3 +186,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.7, **how) -> D
     """doc_id, held_out, score, predicted."""
     got = score_column(docs.select("doc_id", "text"), train(docs, labels, **how), ["doc_id", "text"])
     return got.select("doc_id", held_out(F.col("doc_id"), *HELD_OUT).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, lifts: tuple[float, ...], folds: int = 3, least: float = 0.7, **how) -> list[tuple[float, int, int]]:
+    """(least_lift, toxic documents found, clean ones flagged) of each lift, over the rows that may be learnt from only.
+
+    Every such row is scored once, by a machine that has not learnt from its fold; held-out rows are neither learnt from nor scored."""
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), F.lit(folds))
+    known = label_of(labels, "toxic", *HELD_OUT).where(F.col("label").isin(0.0, 1.0)).select("doc_id", F.col("label").cast("int").alias("toxic"), fold.alias("fold"))
+    known = cut(known)
+    out = []
+    for lift in lifts:
+        found = flagged = 0
+        for k in range(folds):
+            machine = train(docs, known.where(F.col("fold") != k), least_lift=lift, **how)
+            ids = known.where(F.col("fold") == k).select(F.col("doc_id").alias("k_id"), "toxic")
+            rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("k_id"))
+            got = score_column(rows, machine, ["toxic", "text"]).where(F.col("score") >= least).agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+            found, flagged = found + got[0], flagged + got[1]
+        out.append((lift, found, flagged))
+    return out
