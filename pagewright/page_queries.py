@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import markup as H
 from pagewright.functions import text as T
 from pagewright.operators import asof as W
+from pagewright.operators import destinations as D
 from pagewright.operators import excerpts as E
 from pagewright.operators import robots as R
 from pagewright.operators import runs as N
@@ -230,3 +231,22 @@ def name_groups_customers(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("site_id"), F.col("c_custkey").alias("ord"), F.lit("name").alias("surface"))
     number = F.col("ord") % 300
     return N.name_groups(rows.withColumn("value", F.concat_ws(" ", F.when(number % 2 == 0, F.concat(F.lit("Shop"), (number / 10).cast("int").cast("string"))), (number % 7).cast("string"), (number % 11).cast("string")))).select("site_id", "grp", "ord")
+
+
+# where fetches may go
+_V4 = [(int(a[24:], 16), int(b[24:], 16), bits, kind) for a, b, bits, kind in D.block_rows() if a.startswith(D.MAPPED)]
+
+
+@query(f"""with blocks(lo, hi, bits, kind) as (values {", ".join(f"({a}, {b}, {n}, '{k}')" for a, b, n, k in _V4)}),
+a as (select event_id as id, user_id % 256 as p, event_id % 256 as q, event_id // 7 % 256 as r, event_id % 13 as s from events), n as (select *, p * 16777216 + q * 65536 + r * 256 + s as address from a),
+held as (select id, p || '.' || q || '.' || r || '.' || s as host, kind, row_number() over (partition by id order by bits desc) as t from n left join blocks on address between lo and hi)
+select id, host, coalesce(kind, 'public') as kind, coalesce(kind, 'public') = 'public' as allowed from held where t = 1
+union all select -1 - page_id, regexp_replace({sql_netloc("url")}, ':[0-9]*$', ''), 'name', true from pages where {sql_netloc("url")} <> ''""")
+def destinations(spark, sf_dir):
+    """The hosts of pages, and addresses made of the events' numbers."""
+    n = lambda c, by=256: (c % by).cast("string")
+    events = table(spark, sf_dir, "events")
+    parts = F.concat_ws(".", n(F.col("user_id")), n(F.col("event_id")), n(F.floor(F.col("event_id") / 7)), n(F.col("event_id"), 13))
+    urls = events.select(F.col("event_id").alias("id"), F.concat(F.lit("http://"), parts, F.lit(":8080/")).alias("url"))
+    pages = A.site_pages(table(spark, sf_dir, "pages")).select((-1 - F.col("page_id")).alias("id"), "url")
+    return D.destinations(urls.unionByName(pages)).drop("url")
