@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import decontamination, jaccard_join, mixing, quality_model, quality_rules, secret_scan, substring_dedup, toxicity, url_filters, warc
+from pagewright.llm import decontamination, jaccard_join, mixing, periodic_runs, quality_model, quality_rules, secret_scan, simhash, substring_dedup, toxicity, url_filters, warc
 
 #: Names that operators use inside.
 INNER = ("doc", "spans", "anchor", "node", "class", "gone", "__gone", "__score", "score", "base", "cand", "added", "row", "block", "words", "text_key", "__c0", "__s", "mix_slot", "key", "alias", "digest", "last", "d", "a.b", "TERMS")
@@ -41,6 +41,8 @@ OPERATORS = {
     "op6": lambda d, labels, b: substring_dedup.substring_dedup(d),
     "op8": lambda d, labels, b: toxicity.toxicity(d, labels),
     "op10": lambda d, labels, b: secret_scan.secret_scan(d),
+    "op11": lambda d, labels, b: periodic_runs.periodic_runs(d, d.columns),
+    "op13": lambda d, labels, b: simhash.near_duplicates(d),
 }
 
 
