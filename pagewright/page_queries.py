@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import markup as H
+from pagewright.functions.dates import date_conflicts
 from pagewright.functions import text as T
 from pagewright.operators import asof as W
 from pagewright.operators import destinations as D
@@ -250,3 +251,15 @@ def destinations(spark, sf_dir):
     urls = events.select(F.col("event_id").alias("id"), F.concat(F.lit("http://"), parts, F.lit(":8080/")).alias("url"))
     pages = A.site_pages(table(spark, sf_dir, "pages")).select((-1 - F.col("page_id")).alias("id"), "url")
     return D.destinations(urls.unionByName(pages)).drop("url")
+
+
+_SPANS = """spans as (select user_id as page_id, event_type as kind, event_id, case event_id % 5 when 3 then date_trunc('month', ts) when 4 then date_trunc('year', ts) else date_trunc('day', ts) end as first,
+  case event_id % 5 when 3 then date_trunc('month', ts) + interval 1 month - interval 1 day when 4 then date_trunc('year', ts) + interval 1 year - interval 1 day else date_trunc('day', ts) end as last from events)"""
+
+
+@query(f"with {_SPANS} select page_id, kind, count(*) as dates, max(first) > min(last) as conflict from spans group by 1, 2")
+def date_conflicts_events(spark, sf_dir):
+    """Events as dates that pages state, written in five ways: which pages contradict themselves?"""
+    ways = ("yyyy-MM-dd'T'HH:mm:ss", "d MMMM yyyy", "MMM d, yyyy", "MMMM yyyy", "yyyy")
+    value = F.coalesce(*[F.when(F.col("event_id") % 5 == i, F.date_format("ts", w)) for i, w in enumerate(ways)])
+    return date_conflicts(table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("kind"), value.alias("value")))
