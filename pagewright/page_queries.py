@@ -8,10 +8,13 @@ from pagewright.functions import markup as H
 from pagewright.functions.dates import date_conflicts
 from pagewright.functions import text as T
 from pagewright.operators import asof as W
+from pagewright.operators import captures as Q
 from pagewright.operators import destinations as D
 from pagewright.operators import excerpts as E
 from pagewright.operators import robots as R
 from pagewright.operators import runs as N
+from pagewright.operators import urls as U
+from pagewright.operators.shared import stored
 from pagewright.plans import audit as A
 from pagewright.sources import html as P
 from pagewright.sources.html import extract_pages
@@ -263,3 +266,46 @@ def date_conflicts_events(spark, sf_dir):
     ways = ("yyyy-MM-dd'T'HH:mm:ss", "d MMMM yyyy", "MMM d, yyyy", "MMMM yyyy", "yyyy")
     value = F.coalesce(*[F.when(F.col("event_id") % 5 == i, F.date_format("ts", w)) for i, w in enumerate(ways)])
     return date_conflicts(table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("kind"), value.alias("value")))
+
+
+# stored answers, made of events
+_ANSWERS = """answers as (select event_id, event_type as site_id, 'http://' || event_type || '.example/' || case user_id % 4 when 0 then 'pricing/' when 1 then 'docs/' else 'blog/' end || event_id as url,
+  case cast(floor(value) as integer) % 6 when 0 then 404 when 1 then 410 when 2 then 500 when 3 then null else 200 end as status from events)"""
+
+
+def _answers(spark, sf_dir):
+    section = F.when(F.col("user_id") % 4 == 0, "pricing/").when(F.col("user_id") % 4 == 1, "docs/").otherwise("blog/")
+    code = F.floor("value") % 6
+    status = F.when(code == 0, 404).when(code == 1, 410).when(code == 2, 500).when(code > 3, 200)
+    url = F.concat(F.lit("http://"), F.col("event_type"), F.lit(".example/"), section, F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("site_id"), url.alias("url"), status.alias("status"))
+
+
+@query(f"""with {_ANSWERS}, r as (select *, coalesce(status >= 400 and status <> 410, false) as bad from answers),
+g as (select site_id, count(*) as sampled, count_if(bad) as rotted, count_if(bad and regexp_matches({part('url', 3)}, '{U.DECISION_PATH}')) as on_decision_path from r group by 1)
+select *, case when rotted = 0 then null when rotted >= 3 or on_decision_path > 0 then 'medium' else 'low' end as severity from g""")
+def link_rot_events(spark, sf_dir):
+    return U.link_rot(_answers(spark, sf_dir))
+
+
+@query(f"""with {_ANSWERS}, c as (select *, case when event_id % 3 = 0 then [url, url || '/2', url || '/3'] else [url] end as ch, status is null or status >= 400 as failed from answers)
+select site_id, url, case when failed then 0 else status end as status, case when failed then ch[-1] else url || '?final' end as final_url, array_to_string(ch, ' ') as chain from c where not failed or len(ch) >= 3""")
+def fetch_outcomes_events(spark, sf_dir):
+    chain = F.when(F.col("event_id") % 3 == 0, F.array("url", F.concat("url", F.lit("/2")), F.concat("url", F.lit("/3")))).otherwise(F.array("url"))
+    rows = _answers(spark, sf_dir).select("site_id", "url", "status", F.lit(None).cast("string").alias("error"), F.concat("url", F.lit("?final")).alias("final_url"), chain.alias("chain"))
+    return Q.fetch_outcomes(rows).withColumn("chain", F.array_join("chain", " "))
+
+
+@query(f"""with {TOKENS}, {_HEADINGS}, starts as (select page_id, min(char_offset) as window_offset from (
+  select page_id, sec, coalesce(sum(chars) over (partition by page_id order by sec rows between unbounded preceding and 1 preceding), 0) as char_offset, body_chars, heading from (
+    select k.page_id, k.sec, coalesce(z.chars, 0) as chars, coalesce(z.chars, 0) as body_chars, t.text as heading from (select page_id, sec from blocks where block <> '' union select page_id, sec from told) k
+    left join (select page_id, sec, sum(length(block) + 1) as chars from blocks where block <> '' group by 1, 2) z on k.page_id = z.page_id and k.sec = z.sec left join told t on k.page_id = t.page_id and k.sec = t.sec)) where body_chars > 0 or coalesce(heading, '') <> '' group by 1
+), mains as (select page_id, arg_min(text, sec) as headline from told where level = 1 group by 1)
+select p.page_id, cast(s.window_offset as bigint) as window_offset, m.headline, exists (select 1 from tok k where k.page_id = p.page_id and regexp_matches(k.tok, '(?is)^<[a-z][^>]*(?:class|id)\\s*=\\s*["\\x27]?[^"\\x27>]*(?:cookie|consent|gdpr|paywall|interstitial|onetrust|osano|subscribe-modal|signup-modal)')) as overlay_present
+from (select distinct page_id from tok) p left join starts s on p.page_id = s.page_id left join mains m on p.page_id = m.page_id""")
+def screen_windows_pages(spark, sf_dir):
+    """Where each page's text begins, its headline, and whether its source has an overlay."""
+    pages = stored(_extracted(spark, sf_dir).select("page_id", "overlay", "sections", "headings"))
+    sections = pages.select("page_id", F.explode("sections").alias("s")).select("page_id", "s.char_offset")
+    headings = pages.select("page_id", F.posexplode("headings").alias("ord", "h")).select("page_id", "ord", "h.level", "h.text")
+    return E.screen_windows(pages.select("page_id", "overlay"), sections, headings)
