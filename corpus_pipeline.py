@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import decontamination, jaccard_join, mixing, secret_scan, toxicity
-from pagewright.llm.common import free_names, quoted, release, scratch
+from pagewright.llm.common import free_names, quoted, release, remove, scratch
 from pagewright.llm.queries import table
 
 #: Score from which a document is toxic.
@@ -53,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the documents of sf_dir."""
-    folder = scratch(spark, "pipeline")
+    """The rows of the last stage over the documents of sf_dir. A stage's table goes when the next one's is written."""
+    folder, before = scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

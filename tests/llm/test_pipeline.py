@@ -1,6 +1,7 @@
 """The pipeline over planted documents: what goes, what stays, and that the stages take odd tables."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 
@@ -21,7 +22,10 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    [folder] = {Path(f.removeprefix("file:")).parents[1] for f in last.inputFiles()}
+    assert [p.name for p in folder.iterdir()] == ["mixing"]  # earlier stages' tables are gone
+    out = last.toPandas()
     ids = set(out["doc_id"].dropna().astype(int))
     assert ids == {i for i in range(400) if i % 4} | {1000, 3000, 3001} and len(out) == len(ids) + 1
     assert out[out["doc_id"] == 3000]["text"].str.endswith(" [secret]").all()
